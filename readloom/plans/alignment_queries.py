@@ -488,7 +488,7 @@ def depth_all(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "merge_regions",
-    f"""with {REG}, m as (select *, max(stop) over (partition by tid order by start, stop rows between unbounded preceding and 1 preceding) as pe from reg where start < stop),
+    f"""with {REG}, m as (select *, max(stop) over (partition by tid order by start, stop rows between unbounded preceding and 1 preceding) as pe from (select distinct tid, start, stop from reg where start < stop)),
     g as (select *, sum(case when pe is null or start > pe then 1 else 0 end) over (partition by tid order by start, stop rows unbounded preceding) as k from m)
     select tid, cast(min(start) as bigint) as start, cast(max(stop) as bigint) as stop from g group by tid, k""",
 )

@@ -76,7 +76,7 @@ def covering_alignments(spark: SparkSession, d: str) -> DataFrame:
     "p3_found",
     """
     with a as (
-      select r.run_id, cast(r.tid as int) as tid, cast(r."position" as bigint) as s,
+      select distinct r.run_id, cast(r.tid as int) as tid, cast(r."position" as bigint) as s,
         cast(r."position" as bigint) + b.alignment_length_p as e
       from read_position r join bam_qc_batch b on r.batch_id = b.batch_id and r.aln_no = b.aln_no
       where r.tid >= 0 and r."position" >= 0 and b.alignment_length_p > 0),
