@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -39,6 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def clean_up() -> None:
+    """Delete every table ``materialize`` has written; frames that still read them end with it.
+
+    Runs by itself when the driver ends, while its session is alive.
+    """
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
@@ -47,6 +65,9 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean_up)
+    _written.append((spark, path))
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
