@@ -60,42 +60,57 @@ def _summaries(width: int):
     return run
 
 
+def _merged(df: DataFrame, item: Column, width: int) -> tuple[DataFrame, DataFrame]:
+    """(item, at_least, at_most) and, as one row, the most rows an item without an entry can have."""
+    x = df.select(item.cast("string").alias("item")).where("item is not null")
+    summary = materialize(x.mapInArrow(_summaries(width), SUMMARY), "lossy")
+    bound = summary.where("item is null").agg(F.coalesce(F.sum("buckets"), F.lit(0)).alias("b"))
+    merged = summary.where("item is not null").groupBy("item").agg(
+        F.sum("n").alias("at_least"), F.sum(F.col("buckets") - F.col("delta")).alias("known")
+    )
+    return merged.select("item", "at_least", (F.col("at_least") + bound.scalar() - F.col("known")).alias("at_most")), bound
+
+
 def lossy_counts(df: DataFrame, item: Column, width: int = 50_000) -> DataFrame:
     """The merged summary: (item, at_least, at_most) of every item some task kept an entry of.
 
     The true count of an item lies in the interval; an item without a row here has at most
     (rows / width + number of tasks) rows. Null items are not counted; an empty table gives no rows.
     """
-    summary = materialize(df.select(item.cast("string").alias("item")).where("item is not null").mapInArrow(_summaries(width), SUMMARY), "lossy")
-    heads = summary.where("item is null").agg(F.coalesce(F.sum("buckets"), F.lit(0)).alias("b")).scalar()
-    merged = summary.where("item is not null").groupBy("item").agg(
-        F.sum("n").alias("at_least"), F.sum(F.col("buckets") - F.col("delta")).alias("known")
-    )
-    return merged.select("item", "at_least", (F.col("at_least") + heads - F.col("known")).alias("at_most"))
+    return _merged(df, item, width)[0]
 
 
 def most_frequent(df: DataFrame, item: Column, k: int, width: int = 50_000, exact: bool = True, broadcast_limit: int = 100_000) -> DataFrame:
     """The ``k`` most frequent items: (item, at_least, at_most, n_rows), ties at the last place kept.
 
-    Candidates are all items whose interval reaches the k-th largest guaranteed count, so no item of
-    the true top k is lost as long as at least k items have entries. With ``exact`` a second pass
-    counts the candidates, and only them; their number is checked before they are broadcast, beyond
-    ``broadcast_limit`` the pass is an ordinary partial aggregate joined by item. Without it n_rows is
-    null and the k best by ``at_least`` come back. Fewer than k items give fewer rows.
+    Candidates are all items whose interval reaches the k-th largest guaranteed count. With ``exact`` a
+    second pass counts the candidates, and only them; their number is checked before they are
+    broadcast, beyond ``broadcast_limit`` they are joined by item after an ordinary partial aggregate.
+    Where the k-th guaranteed count does not pass what an item without an entry may have (a table
+    that is small for the width, or one without frequent items) all items are counted, so the answer
+    is exact for every table; the interval of an item without an entry then starts at 0. Without
+    ``exact`` n_rows is null and the k best by ``at_least`` come back. Null items don't count, fewer
+    than k items give fewer rows, an empty table none.
     """
-    counts = materialize(lossy_counts(df, item, width), "lossy-counts")
-    floor = counts.orderBy(F.desc("at_least")).limit(k).agg(F.min("at_least").alias("m")).scalar()
-    candidates = counts.where(F.col("at_most") >= floor)
+    merged, bound = _merged(df, item, width)
+    counts = materialize(merged, "lossy-counts")
+    missed = bound.first()["b"]
+    top = [r["at_least"] for r in counts.orderBy(F.desc("at_least")).select("at_least").limit(k).collect()]
+    floor = top[-1] if len(top) == k else 0
     if exact:
         rows = df.select(item.cast("string").alias("item")).where("item is not null")
-        few = candidates.select("item").limit(broadcast_limit + 1).count() <= broadcast_limit
-        if few:
-            truth = rows.join(F.broadcast(candidates.select("item")), "item").groupBy("item").agg(F.count(F.lit(1)).alias("n_rows"))
+        n_rows = F.count(F.lit(1)).alias("n_rows")
+        if floor <= missed:
+            truth = rows.groupBy("item").agg(n_rows).join(counts, "item", "left")
+            at_least = F.coalesce("at_least", F.lit(0))
+            candidates = truth.select("item", at_least.alias("at_least"), F.coalesce("at_most", F.lit(missed)).alias("at_most"), "n_rows")
         else:
-            truth = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_rows"))
-        candidates = candidates.join(truth, "item")
+            candidates = counts.where(F.col("at_most") >= floor)
+            few = candidates.limit(broadcast_limit + 1).count() <= broadcast_limit
+            mine = rows.join(F.broadcast(candidates.select("item")), "item") if few else rows
+            candidates = candidates.join(mine.groupBy("item").agg(n_rows), "item")
         by = "n_rows"
     else:
-        candidates, by = candidates.withColumn("n_rows", F.lit(None).cast("bigint")), "at_least"
+        candidates, by = counts.withColumn("n_rows", F.lit(None).cast("bigint")), "at_least"
     best = candidates.orderBy(F.desc(by)).limit(k).agg(F.min(by).alias("m")).scalar()
     return candidates.where(F.col(by) >= best)

@@ -235,7 +235,7 @@ def find_leaks(
     max_edits: int = 1,
     bits: int = 6,
     recall: float = 0.95,
-    index_limit: int = 2_000_000,
+    index_limit: int = 200_000,
 ) -> DataFrame:
     """One row per document and item that share a passage: (doc_id, item_id, n_passages, edits,
     first_word, last_word).
@@ -244,7 +244,7 @@ def find_leaks(
     the least distance found, 0 for a passage of ``window`` equal consecutive words. Pairs at distance
     0 are all found; those farther apart with at least ``recall`` each passage. n_passages counts the
     matching pairs of passages, first_word and last_word bound the document's words in them.
-    Null, empty and short texts (fewer words than the window) share nothing; repeated documents and
+    Null, empty and short texts (fewer words than the window) share nothing, nor do items without an id; repeated documents and
     items count as one by id; an empty side gives no rows; texts are processed whole, in blocks of
     bounded memory; other columns are not read. The index of the items is shipped to the tasks while
     it has at most ``index_limit`` passages, which is counted first; beyond that both sides are
@@ -252,7 +252,7 @@ def find_leaks(
     """
     d = docs.select(F.col(doc[0]).cast("bigint").alias("doc_id"), word_hashes(F.col(doc[1])).alias("words"))
     i = items.select(F.col(item[0]).cast("bigint").alias("item_id"), word_hashes(F.col(item[1])).alias("words"))
-    i = i.where(F.size("words") >= window)
+    i = i.where((F.size("words") >= window) & F.col("item_id").isNotNull())
     size = i.agg(F.coalesce(F.sum(F.size("words") - (window - 1)), F.lit(0)).alias("n")).first()["n"]
     long_enough = d.where(F.size("words") >= window)
     raw = "doc_id bigint, item_id bigint, edits int, at bigint"
