@@ -84,17 +84,26 @@ def coverage_runs(df: DataFrame, chrom: str = "tid", pos: str = "pos", cigar: st
     return depth_runs(b, chrom, bin_width=bin_width)
 
 
-def depth_runs(blocks: DataFrame, chrom: str, beg: str = "beg", end: str = "end", bin_width: int = 1 << 20) -> DataFrame:
-    """The same for any half-open blocks. Runs may be cut at bin borders."""
+def measure_runs(blocks: DataFrame, chrom: str, measures: list[str], beg: str = "beg", end: str = "end", bin_width: int = 1 << 20) -> DataFrame:
+    """Sums of measures over half-open blocks as runs (chrom, beg, end, measures): between two borders
+    nothing changes. Runs may be cut at bin borders; stretches where every measure is 0 are left out."""
     w = F.lit(bin_width).cast("bigint")
-    b = blocks.select(chrom, F.col(beg).cast("bigint").alias("b"), F.col(end).cast("bigint").alias("e")).where("b < e")
-    b = b.withColumn("k", F.explode(F.sequence(F.floor(F.col("b") / w), F.floor((F.col("e") - 1) / w))))
-    b = b.select(chrom, "k", F.greatest("b", F.col("k") * w).alias("b"), F.least("e", (F.col("k") + 1) * w).alias("e"))
-    events = b.select(chrom, "k", F.inline(F.array(F.struct(F.col("b").alias("p"), F.lit(1).alias("d")), F.struct(F.col("e").alias("p"), F.lit(-1).alias("d")))))
-    events = events.groupBy(chrom, "k", "p").agg(F.sum("d").alias("d")).where("d <> 0")
-    by = Window.partitionBy(chrom, "k").orderBy("p")
-    runs = events.withColumn("depth", F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("p").over(by))
-    return runs.where("depth > 0").select(chrom, F.col("p").alias("beg"), "end", "depth")
+    b = blocks.select(chrom, F.col(beg).cast("bigint").alias("__b"), F.col(end).cast("bigint").alias("__e"), *measures).where("__b < __e")
+    b = b.withColumn("__k", F.explode(F.sequence(F.floor(F.col("__b") / w), F.floor((F.col("__e") - 1) / w))))
+    b = b.select(chrom, "__k", F.greatest("__b", F.col("__k") * w).alias("__b"), F.least("__e", (F.col("__k") + 1) * w).alias("__e"), *measures)
+    border = lambda p, sign: F.struct(F.col(p).alias("__p"), *[(sign * F.col(m)).cast("bigint").alias(m) for m in measures])
+    events = b.select(chrom, "__k", F.inline(F.array(border("__b", 1), border("__e", -1))))
+    events = events.groupBy(chrom, "__k", "__p").agg(*[F.sum(m).alias(m) for m in measures])
+    events = events.where(" or ".join(f"`{m}` <> 0" for m in measures))
+    by = Window.partitionBy(chrom, "__k").orderBy("__p")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    runs = events.select(chrom, F.col("__p").alias("beg"), F.lead("__p").over(by).alias("end"), *[F.sum(m).over(upto).alias(m) for m in measures])
+    return runs.where("`end` is not null and (" + " or ".join(f"`{m}` <> 0" for m in measures) + ")")
+
+
+def depth_runs(blocks: DataFrame, chrom: str, beg: str = "beg", end: str = "end", bin_width: int = 1 << 20) -> DataFrame:
+    """The number of blocks over each position, as runs with depth > 0."""
+    return measure_runs(blocks.withColumn("depth", F.lit(1)), chrom, ["depth"], beg, end, bin_width)
 
 
 def coverage(df: DataFrame, mode: str = "intended", **names: str) -> DataFrame:
@@ -138,33 +147,70 @@ def idxstats(df: DataFrame, contigs: DataFrame) -> DataFrame:
     return contigs.select("tid", "name", "len").unionByName(star).join(n, "tid", "left").na.fill(0, ["mapped", "unmapped"]).select("name", "len", "mapped", "unmapped")
 
 
-def pileup(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per read and reference position it spans: (keep, tid, pos, qpos, is_del, is_refskip,
-    indel, is_head, is_tail).
-
-    ``indel`` stands at the last base of a block: the length of an insertion that follows, or minus
-    that of a deletion. qpos is the 0-based offset on the read; in a deletion that of the next base.
-    """
-    blocks = ref_blocks("pos", "cigar", keep="MDN=X")
-    x = df.withColumn("__blocks", blocks).withColumn("__size", F.size("__blocks")).withColumn("__start", F.col("pos"))
+def pileup_blocks(df: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per read and block that it has on the reference: (keep, tid, start, beg, end, op, qbeg, after,
+    last_block). ``after`` is the indel that follows the block's last base: the length of an insertion, or
+    minus that of a deletion."""
+    x = df.withColumn("__blocks", ref_blocks("pos", "cigar", keep="MDN=X")).withColumn("__size", F.size("__blocks"))
     x = x.withColumn("__tail", F.coalesce(F.expr(r"try_cast(regexp_extract(cigar, '([0-9]+)I([0-9]+[SHP])*$', 1) as int)"), F.lit(0)))
-    names = [*keep, "tid", "__start", "__blocks", "__size", "__tail"]
-    x = x.select(*names, F.posexplode("__blocks").alias("__i", "__b"))
+    x = x.select(*keep, "tid", F.col("pos").alias("start"), "__blocks", "__size", "__tail", F.posexplode("__blocks").alias("__i", "__b"))
     x = x.select(
-        *keep, "tid", "__start", "__tail", F.col("__b.beg").alias("__beg"), F.col("__b.end").alias("__end"), F.col("__b.op").alias("__op"), F.col("__b.qbeg").alias("__q"),
-        F.expr("get(__blocks, __i + 1)").alias("__next"), (F.col("__i") == F.col("__size") - 1).alias("__last_block"),
+        *keep, "tid", "start", F.col("__b.beg").alias("beg"), F.col("__b.end").alias("end"), F.col("__b.op").alias("op"), F.col("__b.qbeg").alias("qbeg"),
+        F.expr("get(__blocks, __i + 1)").alias("__next"), (F.col("__i") == F.col("__size") - 1).alias("last_block"), "__tail",
     )
-    is_del = F.col("__op").isin("D", "N")
-    used = F.when(is_del, 0).otherwise(F.col("__end") - F.col("__beg"))
-    inserted = F.col("__next.qbeg") - F.col("__q") - used
+    used = F.when(F.col("op").isin("D", "N"), 0).otherwise(F.col("end") - F.col("beg"))
+    inserted = F.col("__next.qbeg") - F.col("qbeg") - used
     after = F.when(F.col("__next").isNull(), F.col("__tail")).when(inserted > 0, inserted).when(F.col("__next.op") == "D", -(F.col("__next.end") - F.col("__next.beg"))).otherwise(0)
-    x = x.withColumn("__after", after).where("__beg < __end").withColumn("pos", F.explode(F.sequence(F.col("__beg"), F.col("__end") - 1)))
-    last = F.col("pos") == F.col("__end") - 1
+    return x.withColumn("after", after).drop("__next", "__tail").where("beg < end")
+
+
+def pileup(df: DataFrame, keep: list[str], bin_shift: int = 14, spread: int = 1) -> DataFrame:
+    """One row per read and reference position it spans: (keep, tid, bin, pos, qpos, is_del, is_refskip,
+    indel, is_head, is_tail).
+
+    ``indel`` stands at the last base of a block. qpos is the 0-based offset on the read; in a deletion that
+    of the next base. The blocks, not the positions, are shuffled: they are cut at bins of
+    2**bin_shift, placed by (tid, bin) and spread out there, so a result grouped by (tid, bin, pos)
+    needs no further shuffle. Where a few positions hold most of the reads, ``spread`` > 1 places a bin
+    on that many tasks and the grouping combines their partial states.
+    """
+    x = pileup_blocks(df, keep)
+    first, last = F.shiftright("beg", bin_shift), F.shiftright(F.col("end") - 1, bin_shift)
+    x = x.withColumn("bin", F.explode(F.sequence(first, last)))
+    place = ["tid", "bin"] if spread == 1 else ["tid", "bin", F.pmod(F.xxhash64(*x.columns), F.lit(spread))]
+    x = x.repartition(*place)
+    edge = F.shiftleft("bin", bin_shift)
+    x = x.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("beg"), edge), F.least(F.col("end"), edge + (1 << bin_shift)) - 1)))
+    is_del = F.col("op").isin("D", "N")
+    at_end = F.col("pos") == F.col("end") - 1
     return x.select(
-        *keep, "tid", "pos", F.when(is_del, F.col("__q")).otherwise(F.col("__q") + F.col("pos") - F.col("__beg")).cast("int").alias("qpos"),
-        is_del.alias("is_del"), (F.col("__op") == "N").alias("is_refskip"), F.when(last, F.col("__after")).otherwise(0).cast("int").alias("indel"),
-        (F.col("pos") == F.col("__start")).alias("is_head"), (last & F.col("__last_block")).alias("is_tail"),
+        *keep, "tid", "bin", "pos", F.when(is_del, F.col("qbeg")).otherwise(F.col("qbeg") + F.col("pos") - F.col("beg")).cast("int").alias("qpos"),
+        is_del.alias("is_del"), (F.col("op") == "N").alias("is_refskip"), F.when(at_end, F.col("after")).otherwise(0).cast("int").alias("indel"),
+        (F.col("pos") == F.col("start")).alias("is_head"), (at_end & F.col("last_block")).alias("is_tail"),
+    )
+
+
+PILE_COUNTS = ["n_reads", "n_del", "n_skip", "n_head", "n_tail", "indel_sum"]
+
+
+def pileup_counts(df: DataFrame) -> DataFrame:
+    """What stands at every position: (tid, pos 0-based, reads, deletions, skips, heads, tails, sum of
+    indels), from the borders of the blocks; positions are only made at the end."""
+    x = pileup_blocks(df, [])
+
+    def part(beg, end, **values):
+        return F.struct(beg.alias("beg"), end.alias("end"), *[values.get(m, F.lit(0)).cast("bigint").alias(m) for m in PILE_COUNTS])
+
+    b, e, one = F.col("beg"), F.col("end"), F.lit(1)
+    whole = part(b, e, n_reads=one, n_del=(F.col("op") == "D").cast("int"), n_skip=(F.col("op") == "N").cast("int"))
+    tip = part(e - 1, e, n_tail=F.col("last_block").cast("int"), indel_sum=F.col("after"))
+    head = part(b, b + 1, n_head=one)
+    parts = F.concat(
+        F.array(whole), F.when(F.col("last_block") | (F.col("after") != 0), F.array(tip)).otherwise(F.slice(F.array(tip), 1, 0)),
+        F.when(b == F.col("start"), F.array(head)).otherwise(F.slice(F.array(head), 1, 0)),
     )
+    runs = measure_runs(x.select("tid", F.inline(parts)), "tid", PILE_COUNTS)
+    return runs.select("tid", F.explode(F.sequence(F.col("beg").cast("int"), F.col("end").cast("int") - 1)).alias("pos"), *PILE_COUNTS)
 
 
 def depth_by_file(df: DataFrame, files: list[str], min_quality: int = 0) -> DataFrame:
@@ -172,5 +218,8 @@ def depth_by_file(df: DataFrame, files: list[str], min_quality: int = 0) -> Data
     counted, but every position a read spans is there."""
     x = df.where(F.col("mapq") >= min_quality)
     b = x.select("file", "tid", F.inline(ref_blocks("pos", "cigar", keep="MDN=X")))
-    spans = b.select("tid", F.explode(F.sequence(F.col("beg") + 1, F.col("end"))).alias("pos"), "file", F.col("op").isin("M", "=", "X").alias("base"))
-    return spans.groupBy("tid", "pos").agg(*[_total((F.col("file") == f) & F.col("base")).alias(f"depth_{f}") for f in files])
+    names = [f"depth_{f}" for f in files]
+    base = F.col("op").isin("M", "=", "X")
+    b = b.select("tid", "beg", "end", F.lit(1).alias("__any"), *[((F.col("file") == f) & base).cast("int").alias(n) for f, n in zip(files, names)])
+    runs = measure_runs(b, "tid", ["__any", *names]).where("__any > 0")
+    return runs.select("tid", F.explode(F.sequence((F.col("beg") + 1).cast("int"), F.col("end").cast("int"))).alias("pos"), *names)

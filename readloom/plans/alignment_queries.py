@@ -617,9 +617,16 @@ def top_reads_per_contig(spark: SparkSession, d: str) -> DataFrame:
 )
 def pileup_counts(spark: SparkSession, d: str) -> DataFrame:
     """What stands at every position, from the exploded pileup."""
-    x = A.pileup(X.pileup_reads(alignments(spark, d).where("tid >= 0")), [])
-    n = lambda c: F.sum(c.cast("bigint"))
-    return x.groupBy("tid", "pos").agg(
-        F.count(F.lit(1)).alias("n_reads"), n(F.col("is_del") & ~F.col("is_refskip")).alias("n_del"), n(F.col("is_refskip")).alias("n_skip"),
-        n(F.col("is_head")).alias("n_head"), n(F.col("is_tail")).alias("n_tail"), F.sum("indel").alias("indel_sum"),
-    )
+    return A.pileup_counts(X.pileup_reads(alignments(spark, d).where("tid >= 0")))
+
+
+@R.add(
+    "pileup_rows",
+    f"""with {_BLOCKS} select b.tid, count(*) as n_blocks, cast(sum(b.n) as bigint) as n_rows from blk b join aln a using (ord) where b.op in ('M', 'D', 'N', '=', 'X') and a.flag & 1796 = 0 group by 1""",
+)
+def pileup_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The exploded pileup itself, counted per contig."""
+    x = A.pileup(X.pileup_reads(alignments(spark, d).where("tid >= 0")), ["ord"])
+    y = x.groupBy("tid", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("tid").agg(F.sum("n").alias("n_rows"))
+    blocks = A.pileup_blocks(X.pileup_reads(alignments(spark, d).where("tid >= 0")), []).groupBy("tid").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return blocks.join(y, "tid").select("tid", "n_blocks", "n_rows")

@@ -185,7 +185,7 @@ for _n, _w in (("ref", "is_ref"), ("alt", "not is_ref")):
 @R.add("site_annotations", f"with {_ANNOTATED} select tid, pos, count(*) as depth, {', '.join(_SUMS)} from x group by all")
 def site_annotations(spark: SparkSession, d: str) -> DataFrame:
     """Sixteen counters a site."""
-    return V.site_annotations(base_pile(spark, d).where("not is_del"), ["tid", "pos"])
+    return V.site_annotations(base_pile(spark, d).where("not is_del"), ["tid", "bin", "pos"]).drop("bin")
 
 
 _HIT, _MISS, _HET = "log10(greatest(1 - e, 1e-10))", "log10(e / 3)", "log10((1 - e) / 2 + e / 6)"
@@ -201,7 +201,7 @@ _HIT, _MISS, _HET = "log10(greatest(1 - e, 1e-10))", "log10(e / 3)", "log10((1 -
 )
 def base_likelihoods(spark: SparkSession, d: str) -> DataFrame:
     """Likelihoods of three genotypes a site, errors taken as independent."""
-    return V.base_likelihoods(base_pile(spark, d).where("not is_del and base_q > 0"), ["tid", "pos"])
+    return V.base_likelihoods(base_pile(spark, d).where("not is_del and base_q > 0"), ["tid", "bin", "pos"]).drop("bin")
 
 
 _TOKEN = f"""case when pos = start then '^' || chr(cast(least(mapq, 93) + 33 as int)) else '' end
@@ -225,7 +225,7 @@ def mpileup_text(spark: SparkSession, d: str) -> DataFrame:
     head = F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise("")
     indel = F.when(F.col("indel") > 0, F.concat(F.lit("+"), F.col("indel").cast("string"))).when(F.col("indel") < 0, F.col("indel").cast("string")).otherwise("")
     token = F.concat(head, symbol, indel, F.when(F.col("is_tail"), "$").otherwise(""))
-    x = base_pile(spark, d).select("tid", "pos", "ref_base", F.struct("ord", token.alias("t"), F.char(F.col("base_q") + 33).alias("q")).alias("e"))
-    x = x.groupBy("tid", "pos").agg(F.first("ref_base").alias("ref_base"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list("e")).alias("l"))
+    x = base_pile(spark, d).select("tid", "bin", "pos", "ref_base", F.struct("ord", token.alias("t"), F.char(F.col("base_q") + 33).alias("q")).alias("e"))
+    x = x.groupBy("tid", "bin", "pos").agg(F.first("ref_base").alias("ref_base"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list("e")).alias("l"))
     text = lambda f: F.md5(F.array_join(F.transform("l", lambda e: e[f]), ""))
     return x.select("tid", (F.col("pos") + 1).alias("pos"), "ref_base", "depth", text("t").alias("bases"), text("q").alias("quals"))
