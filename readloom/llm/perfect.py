@@ -8,6 +8,8 @@ slots, 2 bits of ranks and ``fp_bits`` per key; no key is kept.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -78,5 +80,26 @@ class SealedSet:
             found[left] = [p in self.rest for p in pairs]
         return found
 
+    def to_bytes(self) -> bytes:
+        arrays = {"fingerprints": self.fingerprints, "levels": np.array([(n, b) for n, _, _, b in self.levels], np.int64).reshape(-1, 2)}
+        arrays |= {f"words{i}": w for i, (_, w, _, _) in enumerate(self.levels)}
+        arrays["rest"] = np.array(sorted(self.rest), np.uint64).reshape(-1, 2)
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> SealedSet:
+        x = np.load(io.BytesIO(data), allow_pickle=False)
+        out = cls.__new__(cls)
+        out.fingerprints, out.levels = x["fingerprints"], []
+        for i, (slots, base) in enumerate(x["levels"].tolist()):
+            words = x[f"words{i}"]
+            before = np.concatenate(([0], np.cumsum(np.bitwise_count(words))[:-1])).astype(np.int32)
+            out.levels.append((slots, words, before, base))
+        out.rest = {tuple(r) for r in x["rest"].tolist()}
+        out.size = len(out.fingerprints) + len(out.rest)
+        return out
+
     def nbytes(self) -> int:
         return self.fingerprints.nbytes + sum(w.nbytes + b.nbytes for _, w, b, _ in self.levels)

@@ -23,38 +23,49 @@ from pyspark.sql import functions as F
 
 from readloom.llm.perfect import SealedSet
 
-#: kinds of row in the shuffle: earlier keys come first, then candidates in order, then decided rows
-KNOWN, CANDIDATE, DECIDED = 0, 1, 2
+#: kinds of row in the shuffle: sealed sets of a store come first, then earlier keys, then candidates in order,
+#: then decided rows
+SEALED, KNOWN, CANDIDATE, DECIDED = -1, 0, 1, 2
+_SHUFFLED = "part bigint, kind tinyint, ord bigint, h bigint, fp int, key string"
 _LAST = np.iinfo(np.int64).max
 
 
-def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        order = b.column("ord").to_numpy(zero_copy_only=False)
-        code = b.column("key").dictionary_encode().indices.to_numpy()
-        first = np.full(int(code.max()) + 1, _LAST)
-        np.minimum.at(first, code, order)
-        later = order > first[code]
-        keep = pa.array(~later)
-        kept = b.filter(keep)
-        yield pa.RecordBatch.from_arrays(
-            [kept.column("h"), pa.array(np.full(kept.num_rows, CANDIDATE, np.int8)), *(kept.column(c) for c in ("ord", "h", "fp", "key"))],
-            ["part", "kind", "ord", "h", "fp", "key"],
-        )
-        o = order[later]
-        if len(o):
-            spread = (o.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            nulls = [pa.nulls(len(o), t) for t in (pa.int64(), pa.int32(), pa.string())]
+def _first_rows(buckets: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            order = b.column("ord").to_numpy(zero_copy_only=False)
+            code = b.column("key").dictionary_encode().indices.to_numpy()
+            first = np.full(int(code.max()) + 1, _LAST)
+            np.minimum.at(first, code, order)
+            later = order > first[code]
+            kept = b.filter(pa.array(~later))
+            part = kept.column("h") if buckets is None else pa.array(_bucket(kept.column("h").to_numpy(), buckets))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(np.full(len(o), DECIDED, np.int8)), pa.array(o), *nulls],
+                [part, pa.array(np.full(kept.num_rows, CANDIDATE, np.int8)), *(kept.column(c) for c in ("ord", "h", "fp", "key"))],
                 ["part", "kind", "ord", "h", "fp", "key"],
             )
+            o = order[later]
+            if len(o):
+                spread = (o.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                nulls = [pa.nulls(len(o), t) for t in (pa.int64(), pa.int32(), pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(spread), pa.array(np.full(len(o), DECIDED, np.int8)), pa.array(o), *nulls],
+                    ["part", "kind", "ord", "h", "fp", "key"],
+                )
+
+    return run
+
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a store: the upper half of the hash, so that it says nothing about the slots."""
+    return ((h.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
-def _decide(batch_keys: int, max_batch: int):
+
+def _decide(batch_keys: int, max_batch: int, buckets: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored: dict[int, list[SealedSet]] = {}
         sealed: list[SealedSet] = []
         current: dict[str, tuple[int, int, int]] = {}
         limit, known_open = batch_keys, False
@@ -77,12 +88,22 @@ def _decide(batch_keys: int, max_batch: int):
                 if what == DECIDED:
                     yield pa.RecordBatch.from_arrays([part.column("ord"), pa.array(np.ones(part.num_rows, bool))], ["ord", "seen"])
                     continue
+                if what == SEALED:
+                    for k, data in zip(part.column("part").to_pylist(), part.column("sealed").to_pylist()):
+                        stored.setdefault(k, []).append(SealedSet.from_bytes(data))
+                    continue
                 h, fp = part.column("h").to_numpy(), part.column("fp").to_numpy()
                 hu, fu = h.view(np.uint64), fp.view(np.uint32)
                 seen = np.zeros(part.num_rows, bool)
                 if what == CANDIDATE and known_open:
                     seal(None)
                     known_open = False
+                if stored:  # a bucket's keys meet only its own sets
+                    at = _bucket(h, buckets)
+                    for k in np.unique(at).tolist():
+                        for s in stored.get(k, ()):
+                            left = np.flatnonzero(~seen & (at == k))
+                            seen[left] = s.contains(hu[left], fu[left])
                 for s in sealed:
                     left = np.flatnonzero(~seen)
                     if not len(left):
@@ -119,12 +140,46 @@ def _hashed(df: DataFrame, key: Column, order: Column) -> DataFrame:
     )
 
 
+def seal_keys(keys: DataFrame, key: Column, buckets: int = 1024, batch_keys: int = 1 << 20) -> DataFrame:
+    """A store of keys without the keys: (bucket, buckets, sealed), to be written as a table.
+
+    Later calls of ``seen_before`` take it as ``store``; stores of several days with the same number of
+    buckets are combined by union. Null keys are left out, repeated keys are kept once a batch. A bucket
+    gives one set for every ``batch_keys`` keys, so a task never holds more keys than that.
+    """
+    x = keys.select(key.cast("string").alias("key")).where("key is not null").select(F.xxhash64("key").alias("h"), F.shiftright(F.xxhash64(F.lit(7), "key"), 32).cast("int").alias("fp"))
+    x = x.dropDuplicates(["h", "fp"]).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            held.clear()
+            sets = [rows[rows[:, 0] == k] for k in np.unique(rows[:, 0])]
+            data = [SealedSet(s[:, 1].view(np.uint64).copy(), s[:, 2].astype(np.uint32)).to_bytes() for s in sets]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(s[0, 0]) for s in sets], pa.int32()), pa.array([buckets] * len(sets), pa.int32()), pa.array(data, pa.binary())], ["bucket", "buckets", "sealed"]
+            )
+
+        for b in batches:
+            if b.num_rows:
+                held.append(np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("bucket", "h", "fp")], 1))
+                if sum(map(len, held)) >= batch_keys:
+                    yield close()
+        if held:
+            yield close()
+
+    return x.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, buckets int, sealed binary")
+
+
 def seen_before(
     records: DataFrame,
     key: Column,
     order: str,
     known: DataFrame | None = None,
     known_key: Column | None = None,
+    store: DataFrame | None = None,
     batch_keys: int = 1 << 16,
     max_batch: int = 1 << 20,
 ) -> DataFrame:
@@ -133,20 +188,25 @@ def seen_before(
     ``order`` names the arrival number. Rows with a null key have no answer and are left out; an empty
     string is a key. Rows with equal arrival numbers don't count as earlier than each other; a null
     number counts as the last and comes back as null. Repeated rows are rows of their own. An empty
-    table gives no rows. A known key may be repeated. Other columns are not read, whatever their
+    table gives no rows. A known key may be repeated. ``store`` holds earlier keys sealed by
+    ``seal_keys``; it is joined by bucket and its keys are never needed again. Other columns are not read, whatever their
     names. Wrong answers are only ever "seen" for a new key: with the 32-bit fingerprint at most
     (sealed sets of its task) * 2 ** -32 per new key; ``error_rates`` measures them.
     """
-    x = _hashed(records, key, F.col(order))
-    shape = "part bigint, kind tinyint, ord bigint, h bigint, fp int, key string"
-    rows = x.mapInArrow(_first_rows, shape)
+    buckets = None
+    if store is not None:
+        first = store.select("buckets").first()
+        buckets = first["buckets"] if first else None
+    rows = _hashed(records, key, F.col(order)).mapInArrow(_first_rows(buckets), _SHUFFLED)
     if known is not None:
+        part = F.col("h") if buckets is None else F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets))
         k = _hashed(known, known_key, F.lit(-1))
-        rows = rows.unionByName(
-            k.select(F.col("h").alias("part"), F.lit(KNOWN).cast("tinyint").alias("kind"), "ord", "h", "fp", "key")
-        )
+        rows = rows.unionByName(k.select(part.alias("part"), F.lit(KNOWN).cast("tinyint").alias("kind"), "ord", "h", "fp", "key"))
+    if buckets is not None:
+        kept = store.select(F.col("bucket").cast("bigint").alias("part"), F.lit(SEALED).cast("tinyint").alias("kind"), F.lit(-1).cast("bigint").alias("ord"), "sealed")
+        rows = rows.unionByName(kept, allowMissingColumns=True)
     rows = rows.repartition("part").sortWithinPartitions("kind", "ord")
-    out = rows.mapInArrow(_decide(batch_keys, max_batch), "ord bigint, seen boolean")
+    out = rows.mapInArrow(_decide(batch_keys, max_batch, buckets), "ord bigint, seen boolean")
     return out.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias(order), "seen")
 
 

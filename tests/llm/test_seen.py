@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.keys import read_key
 from readloom.llm.perfect import SealedSet
-from readloom.llm.seen import error_rates, seen_before
+from readloom.llm.seen import error_rates, seal_keys, seen_before
 
 SCHEMA = "n bigint, key string, ord int, h string"
 
@@ -73,3 +73,28 @@ def test_read_key(spark):
     ids = [None, "", "  ", "*", " * ", "a/1", " a/2 ", "a/3", "/1", "A", "a /1", "a/1/2"]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id string").select(read_key("id")).collect()]
     assert got == [None, None, None, None, None, "a", "a", "a/3", None, "A", "a", "a/1"]
+
+
+def test_store_of_earlier_days(spark, tmp_path):
+    rng = random.Random(12)
+    day = lambda n, start: [(start + i, f"k{rng.randrange(1500)}", 0, None) for i in range(n)]
+    one, two, three = day(900, 0), day(900, 1000), day(900, 2000)
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for name, rows in (("one", one), ("two", [*two, (1, None, 0, None)])):
+        seal_keys(frame(rows), F.col("key"), buckets=16, batch_keys=50).write.parquet(str(tmp_path / name))
+    store = spark.read.parquet(str(tmp_path / "one"), str(tmp_path / "two"))
+    extra = spark.createDataFrame([("k7",)], "key string")
+    got = sorted(((r["n"], r["seen"]) for r in seen_before(frame(three), F.col("key"), "n", extra, F.col("key"), store, batch_keys=40).collect()), key=str)
+    assert got == brute(three, {k for _, k, *_ in one + two} | {"k7"})
+    empty = spark.read.schema(store.schema).parquet(str(tmp_path / "one")).limit(0)
+    got = sorted(((r["n"], r["seen"]) for r in seen_before(frame(three), F.col("key"), "n", store=empty).collect()), key=str)
+    assert got == brute(three)
+
+
+def test_sealed_set_survives_writing():
+    rng = np.random.default_rng(3)
+    h, f = rng.integers(0, 2**64, 3000, dtype=np.uint64), rng.integers(0, 2**32, 3000, dtype=np.uint32)
+    h[1] = h[0]
+    s = SealedSet.from_bytes(SealedSet(h, f).to_bytes())
+    assert s.contains(h, f).all() and s.size == 3000
+    assert not s.contains(h + np.uint64(1), rng.integers(0, 2**32, 3000, dtype=np.uint32)).any()
