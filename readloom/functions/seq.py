@@ -103,3 +103,11 @@ def random_base(code_: Column, seed: Column) -> Column:
     low = F.when(b.bitwiseAND(F.lit(1)) > 0, "A").when(b.bitwiseAND(F.lit(2)) > 0, "C").otherwise("G")
     high = F.when(b.bitwiseAND(F.lit(8)) > 0, "T").when(b.bitwiseAND(F.lit(4)) > 0, "G").otherwise("C")
     return F.when(two, F.when(F.xxhash64(seed) % 2 == 0, low).otherwise(high)).otherwise(code_)
+
+
+def colours(seq: Column | str) -> Column:
+    """The colour between each two neighbouring bases (0 to 3), 4 where one of them is not A, C, G or T."""
+    s = F.split(F.upper(_c(seq)), "")
+    number = lambda b: F.instr(F.lit("ACGT"), b) - 1
+    both = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.when((number(a) < 0) | (number(b) < 0), "4").otherwise(number(a).bitwiseXOR(number(b)).cast("string")))
+    return F.when(F.length(_c(seq)) > 1, F.array_join(both, "")).otherwise("")

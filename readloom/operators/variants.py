@@ -333,3 +333,46 @@ def site_annotations(pile: DataFrame, keys: list[str]) -> DataFrame:
             v = F.when(mine, F.col(c).cast("bigint")).otherwise(0)
             out += [F.sum(v).alias(f"{c}_{name}"), F.sum(v * v).alias(f"{c}2_{name}")]
     return pile.groupBy(*keys).agg(F.count(F.lit(1)).alias("depth"), *out)
+
+
+def trio_gap(pl: Column | str, child: int = 0, mother: int = 1, father: int = 2) -> Column:
+    """How much worse the best genotypes of a trio are that can be inherited than the best ones at all."""
+    s = samples_of(pl)
+    c, m, f = (F.get(s, i) for i in (child, mother, father))
+    gametes = {0: (0,), 1: (0, 1), 2: (1,)}
+    ok = sorted({(x + y, a, b) for a in gametes for b in gametes for x in gametes[a] for y in gametes[b]})
+    best = F.array_min(F.array(*[F.get(c, k) + F.get(m, a) + F.get(f, b) for k, a, b in ok]))
+    return best - F.array_min(c) - F.array_min(m) - F.array_min(f)
+
+
+def group_contrast(calls: Column | str, first: int) -> Column:
+    """Chi-square of alternative alleles in the first samples against the others; null without variation."""
+    c = _c(calls)
+    alt = lambda part: F.aggregate(part, F.lit(0), lambda a, g: a + g["gt"])
+    rest = F.size(c) - first
+    a, b = alt(F.slice(c, 1, first)).cast("double"), alt(F.slice(c, F.lit(first + 1), rest)).cast("double")
+    n1, n2 = F.lit(2.0 * first), 2.0 * rest
+    p, q, n = a + b, n1 + n2 - a - b, n1 + n2
+    return F.when((p > 0) & (q > 0), n * (a * (n2 - b) - b * (n1 - a)) ** 2 / (n1 * n2 * p * q))
+
+
+def permuted_samples(pl: Column | str, seed: Column) -> Column:
+    """The samples in the order of a hash of seed and place: a permutation that comes out the same each time."""
+    places = F.zip_with(samples_of(pl), F.sequence(F.lit(0), F.size(samples_of(pl)) - 1), lambda s, i: F.struct(F.xxhash64(seed, i).alias("h"), s.alias("s")))
+    return F.transform(F.array_sort(places), lambda x: x["s"])
+
+
+def indel_candidates(blocks: DataFrame, least: int = 1) -> DataFrame:
+    """(tid, pos, indel, n_reads): the kinds of indel that follow a position and their support."""
+    x = blocks.where("after <> 0").groupBy("tid", (F.col("end") - 1).alias("pos"), F.col("after").alias("indel")).agg(F.count(F.lit(1)).alias("n_reads"))
+    return x.where(F.col("n_reads") >= least)
+
+
+def format_vcf(df: DataFrame) -> DataFrame:
+    """Lines (value) of records (chrom, pos 0-based, ref, alt, qual, info map), INFO by name."""
+    entry = lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))
+    info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), entry), ";")
+    qual = F.coalesce(F.col("qual").cast("string"), F.lit("."))
+    return df.select(
+        F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", F.when(F.col("alt") == "X", ".").otherwise(F.col("alt")), qual, F.lit("."), F.when(info == "", ".").otherwise(info)).alias("value")
+    )

@@ -209,3 +209,13 @@ def lower_bound_join(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     hit = F.when(F.col("event_type") == "purchase", F.col("event_id"))
     return table(spark, d, "events").select("event_id", F.last(hit, ignorenulls=True).over(w).alias("previous_purchase"))
+
+
+@R.add(
+    "sequence_colours",
+    f"""with {SEQ}, c as (select doc_id, i, strpos('ACGT', substr(seq, i, 1)) - 1 as a, strpos('ACGT', substr(seq, i + 1, 1)) - 1 as b from (select doc_id, seq, unnest(range(1, length(seq))) as i from s))
+    select doc_id, md5(string_agg(case when a < 0 or b < 0 then '4' else cast(xor(a, b) as varchar) end, '' order by i)) as digest from c group by 1""",
+)
+def sequence_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Colours of neighbouring bases."""
+    return sequences(spark, d).where("length(seq) > 1").select("doc_id", F.md5(S.colours("seq")).alias("digest"))

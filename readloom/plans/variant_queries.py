@@ -229,3 +229,52 @@ def mpileup_text(spark: SparkSession, d: str) -> DataFrame:
     x = x.groupBy("tid", "bin", "pos").agg(F.first("ref_base").alias("ref_base"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list("e")).alias("l"))
     text = lambda f: F.md5(F.array_join(F.transform("l", lambda e: e[f]), ""))
     return x.select("tid", (F.col("pos") + 1).alias("pos"), "ref_base", "depth", text("t").alias("bases"), text("q").alias("quals"))
+
+
+@R.add("indel_candidates", f"with {PILE} select tid, pos, cast(case when cigar = '20M2I28M' then 2 else -5 end as int) as indel, count(*) as n_reads from pile where at_end and ((cigar = '20M2I28M' and pos = start + 19) or (cigar = '30M5D20M' and pos = start + 29)) group by all")
+def indel_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of indel at every position with their support (the scoring by realignment is not built)."""
+    x = A.pileup_blocks(X.pileup_reads(alignments(spark, d).where("tid >= 0")), [])
+    return V.indel_candidates(x)
+
+
+_TRIO = sorted({(x + y, a, b) for a in (0, 1, 2) for b in (0, 1, 2) for x in ((0,), (0, 1), (1,))[a] for y in ((0,), (0, 1), (1,))[b]})
+
+
+@R.add("trio_calls", f"with {PL} select vec_id, cast(least({', '.join(f'pl[{k + 1}] + pl[{a + 4}] + pl[{b + 7}]' for k, a, b in _TRIO)}) - list_min(pl[1:3]) - list_min(pl[4:6]) - list_min(pl[7:9]) as int) as gap from p")
+def trio_calls(spark: SparkSession, d: str) -> DataFrame:
+    """What inheritance costs the first three samples."""
+    return likelihoods(spark, d).select("vec_id", V.trio_gap("pl").alias("gap"))
+
+
+@R.add(
+    "group_contrast",
+    f"""with {PL}, {_CALLS}, k as (select vec_id, cast(list_sum(list_transform(g[1:8], lambda x: x.gt)) as double) as a, cast(list_sum(list_transform(g[9:20], lambda x: x.gt)) as double) as b from c)
+    select vec_id, case when a + b > 0 and a + b < 40 then round(40 * pow(a * (24 - b) - b * (16 - a), 2) / (16 * 24 * (a + b) * (40 - a - b)), 6) end as chi2 from k""",
+)
+def group_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight samples against the other twelve."""
+    x = likelihoods(spark, d).withColumn("calls", V.call_genotypes("pl"))
+    return x.select("vec_id", F.round(V.group_contrast("calls", 8), 6).alias("chi2"))
+
+
+@R.add("permuted_samples", f"with {PL} select vec_id, cast(list_sum(pl) as bigint) as total, cast(20 as int) as n_samples from p")
+def permuted_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples permuted; what a permutation leaves as it was."""
+    x = likelihoods(spark, d).select("vec_id", V.permuted_samples("pl", F.col("vec_id")).alias("s"))
+    return x.select("vec_id", F.aggregate(F.flatten("s"), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"), F.size("s").alias("n_samples"))
+
+
+@R.add("vcf_output", f"with {VAR} select 'c' || tid || chr(9) || (pos + 1) || chr(9) || '.' || chr(9) || ref || chr(9) || case when alt = 'X' then '.' else alt end || chr(9) || qual || chr(9) || '.' || chr(9) || 'DP=' || dp || case when length(ref) > 1 then ';LONG' else '' end as value, count(*) as n from var group by 1")
+def vcf_output(spark: SparkSession, d: str) -> DataFrame:
+    """Variants as lines."""
+    dp = F.create_map(F.lit("DP"), F.col("dp").cast("string"))
+    info = F.when(F.length("ref") > 1, F.map_concat(dp, F.create_map(F.lit("LONG"), F.lit("")))).otherwise(dp)
+    x = variants(spark, d).select(F.concat(F.lit("c"), F.col("tid").cast("string")).alias("chrom"), "pos", "ref", "alt", "qual", info.alias("info"))
+    return V.format_vcf(x).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("variant_region", f"with {VAR} select vid from var where tid = 3 and pos >= 20000 and pos < 60000")
+def variant_region(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of a region."""
+    return variants(spark, d).where((F.col("tid") == 3) & (F.col("pos") >= 20000) & (F.col("pos") < 60000)).select("vid")
