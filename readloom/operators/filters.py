@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.cigar import end_pos, mismatches, query_len
 from readloom.functions.flags import has, has_all
 from readloom.functions.hashes import x31
 from readloom.operators.joins import overlap_semi
-from readloom.schema import MUNMAP, PAIRED, PILEUP_MASK, PROPER, UNMAP
+from readloom.schema import PAIRED, PILEUP_MASK, PROPER, UNMAP
 
 
 def criteria(
@@ -114,15 +114,3 @@ def valid(max_tid: int) -> Column:
     """Plausible coordinates: contig numbers in range or -1, positions from -1 on."""
     ok = lambda t, p: (F.col(t) >= -1) & (F.col(t) < max_tid) & (F.col(p) >= -1)
     return ok("tid", "pos") & ok("mtid", "mpos") & F.col("qname").isNotNull() & (F.length("qname") < 255)
-
-
-def singleton(flag: str = "flag") -> Column:
-    return has(flag, MUNMAP) & ~has(flag, UNMAP)
-
-
-def first_failures(df: DataFrame, ok: Column, ordinal: str) -> DataFrame:
-    """Where a stream that stops at its first failure would have stopped."""
-    return df.where(~ok).agg(F.min(ordinal).alias("first_failure"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F")]

@@ -53,10 +53,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     Rows are range-partitioned and sorted, written once with their place in their partition, and the
     places are shifted by the sizes of the earlier partitions (one number a partition).
     """
-    keys = [f"__o{i}" for i in range(len(order))]
-    # sort directions live in the order columns, so they are applied as they are
     x = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
-    x = x.drop(*keys)
     x = materialize(x.withColumn("__pid", F.shiftright("__mid", 33)).withColumn("__seq", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("__mid"), "ranked")
     sizes = x.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

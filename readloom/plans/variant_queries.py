@@ -10,7 +10,7 @@ from readloom.functions.flags import has
 from readloom.operators import aggregates as A
 from readloom.operators import filters as X
 from readloom.operators import variants as V
-from readloom.plans.alignment_queries import ALN, _BLOCKS, ops_sql
+from readloom.plans.alignment_queries import _BLOCKS, ops_sql
 from readloom.plans.derive import PL_SQL, REGION_SQL, alignments, likelihoods, regions
 from readloom.plans.registry import Registry
 from readloom.session import table
