@@ -1,9 +1,7 @@
 import random
-import re
 
 import numpy as np
 import regex
-from pyspark.sql import functions as F
 
 from readloom.llm.leakage import edit_distances, find_leaks, plan_walks
 
