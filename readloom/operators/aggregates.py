@@ -151,17 +151,21 @@ def pileup_blocks(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row per read and block that it has on the reference: (keep, tid, start, beg, end, op, qbeg, after,
     last_block). ``after`` is the indel that follows the block's last base: the length of an insertion, or
     minus that of a deletion."""
-    x = df.withColumn("__blocks", ref_blocks("pos", "cigar", keep="MDN=X")).withColumn("__size", F.size("__blocks"))
-    x = x.withColumn("__tail", F.coalesce(F.expr(r"try_cast(regexp_extract(cigar, '([0-9]+)I([0-9]+[SHP])*$', 1) as int)"), F.lit(0)))
-    x = x.select(*keep, "tid", F.col("pos").alias("start"), "__blocks", "__size", "__tail", F.posexplode("__blocks").alias("__i", "__b"))
-    x = x.select(
-        *keep, "tid", "start", F.col("__b.beg").alias("beg"), F.col("__b.end").alias("end"), F.col("__b.op").alias("op"), F.col("__b.qbeg").alias("qbeg"),
-        F.expr("get(__blocks, __i + 1)").alias("__next"), (F.col("__i") == F.col("__size") - 1).alias("last_block"), "__tail",
-    )
-    used = F.when(F.col("op").isin("D", "N"), 0).otherwise(F.col("end") - F.col("beg"))
-    inserted = F.col("__next.qbeg") - F.col("qbeg") - used
-    after = F.when(F.col("__next").isNull(), F.col("__tail")).when(inserted > 0, inserted).when(F.col("__next.op") == "D", -(F.col("__next.end") - F.col("__next.beg"))).otherwise(0)
-    return x.withColumn("after", after).drop("__next", "__tail").where("beg < end")
+    # tested before it is cast: a failing try_cast costs an exception a row
+    last = F.regexp_extract("cigar", r"([0-9]+)I([0-9]+[SHP])*$", 1)
+    tail = F.when(last != "", last.cast("int")).otherwise(0)
+    x = df.select(*keep, "tid", F.col("pos").alias("start"), ref_blocks("pos", "cigar", keep="MDN=X").alias("__blocks"), tail.alias("__tail"))
+
+    def finished(b: Column, i: Column) -> Column:
+        """The block with what follows it: looked up here, so that no row carries the array along."""
+        then = F.get("__blocks", i + 1)
+        inserted = then["qbeg"] - b["qbeg"] - F.when(b["op"].isin("D", "N"), 0).otherwise(b["end"] - b["beg"])
+        after = F.when(then.isNull(), F.col("__tail")).when(inserted > 0, inserted).when(then["op"] == "D", then["beg"] - then["end"]).otherwise(0)
+        return F.struct(
+            b["beg"].alias("beg"), b["end"].alias("end"), b["op"].alias("op"), b["qbeg"].alias("qbeg"), after.alias("after"), (i == F.size("__blocks") - 1).alias("last_block")
+        )
+
+    return x.select(*keep, "tid", "start", F.inline(F.transform("__blocks", finished))).where("beg < end")
 
 
 def pileup(df: DataFrame, keep: list[str], bin_shift: int = 14, spread: int = 1) -> DataFrame:
