@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.cigar import op_counts, op_sum, ref_blocks
+from readloom.functions.cigar import end_pos, op_counts, op_sum, ref_blocks
 from readloom.functions.flags import has
 from readloom.schema import DUP, MUNMAP, PAIRED, PROPER, QCFAIL, READ1, READ2, REVERSE, UNMAP
 
@@ -106,6 +106,21 @@ def depth_runs(blocks: DataFrame, chrom: str, beg: str = "beg", end: str = "end"
     return measure_runs(blocks.withColumn("depth", F.lit(1)), chrom, ["depth"], beg, end, bin_width)
 
 
+def interpolated_blocks(df: DataFrame) -> DataFrame:
+    """Blocks (tid, beg, end) of mapped reads: a proper pair counts from its first start to its last
+    end, whatever lies between; every other read counts its own extent.
+
+    Mates are a first and a second read of one name on one contig, both flagged as properly paired.
+    Where a name has several of either, they are paired in the order of their positions; what has no
+    partner left counts its own extent.
+    """
+    x = df.where((F.col("tid") >= 0) & ~has("flag", UNMAP)).select("qname", "tid", "flag", F.col("pos").alias("beg"), end_pos("pos", "cigar").alias("end"))
+    mate = has("flag", PAIRED) & has("flag", PROPER) & (has("flag", READ1) != has("flag", READ2))
+    number = F.row_number().over(Window.partitionBy("qname", "tid", has("flag", READ1)).orderBy("beg", "end"))
+    pairs = x.where(mate).withColumn("__i", number).groupBy("qname", "tid", "__i").agg(F.min("beg").alias("beg"), F.max("end").alias("end"))
+    return x.where(~mate).select("tid", "beg", "end").unionByName(pairs.select("tid", "beg", "end"))
+
+
 def coverage(df: DataFrame, mode: str = "intended", **names: str) -> DataFrame:
     """(chrom, pos, depth): contig number + 1, 1-based position, depth > 0. ``reference`` wraps the depth
     at 65,536, as a 16-bit counter does."""

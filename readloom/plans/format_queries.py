@@ -169,12 +169,27 @@ def reheader(spark: SparkSession, d: str) -> DataFrame:
     c as (select tid, unnest(range(b, e)) as p from s) select tid, cast(p as int) as pos, count(*) as depth from c group by all""",
 )
 def interpolated_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Depth that counts what lies between mates."""
+    """Depth between all reads of a name, without names that span more than 2,000 bases of a contig; ``interpolated_runs`` has no such limit."""
     x = alignments(spark, d).where("tid >= 0 and flag & 4 = 0").groupBy("qname", "tid").agg(F.min("pos").alias("beg"), F.max(C.end_pos("pos", "cigar")).alias("end"))
     runs = A.depth_runs(x.where("`end` - beg <= 2000"), "tid")
     return runs.select("tid", F.explode(F.sequence(F.col("beg").cast("int"), F.col("end").cast("int") - 1)).alias("pos"), "depth")
 
 
+@R.add(
+    "interpolated_runs",
+    f"""with {ALN}, x as (select qname, tid, flag, pos as b, {END} as e, flag & 3 = 3 and flag & 192 in (64, 128) as mate from aln where tid >= 0 and flag & 4 = 0),
+    m as (select qname, tid, b, e, row_number() over (partition by qname, tid, flag & 64 order by b, e) as i from x where mate),
+    s as (select tid, b, e from x where not mate union all select tid, min(b), max(e) from m group by qname, tid, i),
+    v as (select tid, b as p, 1 as n from s union all select tid, e, -1 from s union all select tid, unnest(range(0, max(e), 1048576)), 0 from s group by tid),
+    g as (select tid, p, sum(n) as n from v group by all having sum(n) <> 0 or p % 1048576 = 0),
+    r as (select tid, p as beg, lead(p) over o as "end", sum(n) over (o rows unbounded preceding) as depth from g window o as (partition by tid order by p))
+    select tid, cast(beg as bigint) as beg, cast("end" as bigint) as "end", cast(depth as bigint) as depth from r where depth <> 0""",
+)
+def interpolated_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Depth that counts what lies between proper mates, however far apart, and every other read once, as runs cut at multiples of 2^20."""
+    return A.depth_runs(A.interpolated_blocks(alignments(spark, d)), "tid")
+
+
 @R.add(
     "evaluation_by_quality",
     f"""with {ALN}, x as (select mapq // 10 as decile, abs(pos - (mpos - 300)) <= 5 + sum_qual % 300 as right_ from aln), q as (select decile, count(*) as n, count(*) filter (not right_) as w from x group by 1)
