@@ -43,11 +43,15 @@ def stream_mapping_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.run_to_table(S.mapping_counts_stream(S.stream_table(spark, d, "mappings")), "complete")
 
 
-@R.add("stream_depth")
+@R.add(
+    "stream_depth",
+    f"""with {_BLOCKS}, cov as (select tid, unnest(range(beg, beg + n)) as p from blk where op in ('M', '=', 'X'))
+    select tid, cast(p as int) as pos, count(*) as depth from cov group by all""",
+)
 def stream_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Depths that are final by the position watermark."""
-    x = _alignment_stream(spark, d).where("tid >= 0").select("tid", F.inline(ref_blocks("pos", "cigar"))).select("tid", "beg", "end")
-    return S.run_to_table(S.depth_stream(x, "drop"), "append")
+    """All depths, each given out when the position watermark has passed it; a late block stops the query."""
+    x = alignments(spark, d).where("tid >= 0").select("tid", F.inline(ref_blocks("pos", "cigar"))).where("beg < end").select("tid", "beg", "end")
+    return S.run_to_table(S.depth_stream(S.position_ordered(x), "error"), "append")
 
 
 @R.add("target_regions")

@@ -46,7 +46,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def clean_up() -> None:
-    """Delete every table ``materialize`` has written; frames that still read them end with it.
+    """Delete every table ``materialize`` has written and every path remembered; frames that still read them end with it.
 
     Runs by itself when the driver ends, while its session is alive.
     """
@@ -58,6 +58,14 @@ def clean_up() -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remember(spark: SparkSession, path: str) -> str:
+    """The path, which ``clean_up`` will delete."""
+    if not _written:
+        atexit.register(clean_up)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
@@ -65,10 +73,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(clean_up)
-    _written.append((spark, path))
+    path = remember(spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

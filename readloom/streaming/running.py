@@ -2,7 +2,8 @@
 
 Micro-batches stand for the bounded batches of the batch tools. Running aggregates keep one state a
 group. A position-ordered stream is handled by its watermark: a position is final once the head of its contig has
-moved beyond it, and a record behind the watermark is an error or is dropped, as asked for.
+moved beyond it, and a record behind the watermark is an error or is dropped, as asked for. A table in
+any order becomes such a stream through ``position_ordered``, which also ends it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from readloom.functions.cigar import op_sum
 from readloom.functions.flags import has
 from readloom.schema import DUP, PAIRED, PROPER, QCFAIL, REVERSE, UNMAP
-from readloom.session import shared_dir
+from readloom.session import remember, shared_dir
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -86,6 +87,37 @@ def windowed_counts_stream(events: DataFrame, late: str = "1 hour", width: str =
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
+#: start of the marker that ends a contig; no block starts there
+END_OF_CONTIG = (1 << 31) - 1
+
+
+def position_ordered(blocks: DataFrame, files: int | None = None) -> DataFrame:
+    """Blocks (tid, beg, end) in any order as a stream in the order of their starts, one file a batch.
+
+    A file holds the blocks of one range of starts on all contigs, so that all contigs advance side by
+    side. The last file holds an empty block a contig at ``END_OF_CONTIG``, behind which nothing is open.
+    The file source reads by modification time, which is set to the order of the ranges; where a file
+    system ignores that, a reader that treats late blocks as an error stops.
+    """
+    spark = blocks.sparkSession
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = remember(spark, f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}")
+    x = blocks.select("tid", "beg", "end")
+    x.repartitionByRange(n, "beg", "tid").write.parquet(f"{place}/blocks")
+    ordered = spark.read.schema(x.schema).parquet(f"{place}/blocks")
+    marker = F.lit(END_OF_CONTIG)
+    ends = ordered.select("tid").distinct().select("tid", *[marker.cast(x.schema[c].dataType).alias(c) for c in ("beg", "end")])
+    ends.coalesce(1).write.parquet(f"{place}/ends")
+    paths = [*sorted(ordered.inputFiles()), *spark.read.schema(x.schema).parquet(f"{place}/ends").inputFiles()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for i, p in enumerate(paths):
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(conf)
+        first = fs.getFileStatus(where).getModificationTime() if i == 0 else first
+        fs.setTimes(where, first + 1000 * i, -1)
+    return spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(place)
+
+
 DEPTH = "tid int, pos int, depth bigint"
 
 
