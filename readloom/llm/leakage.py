@@ -6,7 +6,8 @@ and moves on if bit j of that word's hash is set, so passages at a small edit di
 at a small Hamming distance. A signature is the words at ``bits`` sampled steps. Equal passages have
 equal signatures whatever the walk; for passages at most ``max_edits`` word edits apart the walk and
 the sample are repeated until the wanted recall is reached, with the hit rate measured on edited
-copies of the items themselves. Every candidate is then verified by exact edit distance over words.
+copies of the items themselves, with words changed, left out or put in. Every candidate is then verified by
+exact edit distance over words, against stretches of window - max_edits to window + max_edits words.
 """
 
 from __future__ import annotations
@@ -40,13 +41,15 @@ class Walk:
         self.window, self.seed = window, seed
         self.sample = np.sort(np.random.default_rng(1000 + seed).choice(2 * window, bits, replace=False)).tolist()
 
-    def signatures(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Signature of the passage at each start; ``words`` (uint64) reaches one word beyond the last."""
+    def signatures(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray | None = None) -> np.ndarray:
+        """Signature of the passage at each start, up to its text's stop if that is nearer; ``words`` (uint64) reaches one word beyond the last."""
         moves = _mixed(words, self.seed)
         out = np.empty(len(starts), np.uint64)
         for a in range(0, len(starts), _BLOCK):
             first = starts[a : a + _BLOCK].astype(np.int64)
             at, end = first.copy(), first + self.window
+            if stops is not None:
+                np.minimum(end, stops[a : a + _BLOCK], out=end)
             sig = np.full(len(first), np.uint64(self.seed + 1))
             for j in range(self.sample[-1] + 1):
                 if j in self.sample:
@@ -60,6 +63,11 @@ class Walk:
 
 def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Levenshtein distance of each row of x to the same row of y, over words."""
+    return prefix_distances(x, y)[-1]
+
+
+def prefix_distances(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Levenshtein distance of each row of x to the first 0, 1, ... words of the same row of y."""
     n, m = x.shape[1], y.shape[1]
     previous = [np.full(len(x), j, np.int16) for j in range(m + 1)]
     for i in range(1, n + 1):
@@ -68,7 +76,7 @@ def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             change = previous[j - 1] + (x[:, i - 1] != y[:, j - 1])
             row.append(np.minimum(np.minimum(previous[j], row[j - 1]) + 1, change))
         previous = row
-    return previous[m]
+    return previous
 
 
 def _edited(passages: np.ndarray, edits: int, seed: int) -> np.ndarray:
@@ -92,8 +100,20 @@ def _edited(passages: np.ndarray, edits: int, seed: int) -> np.ndarray:
     return out
 
 
+def _shifted(passages: np.ndarray, edits: int, seed: int, insert: bool) -> np.ndarray:
+    """What a window shows of copies with ``edits`` words put in or left out: the words behind them move."""
+    rng = np.random.default_rng(seed)
+    out = passages.copy()
+    n, w = out.shape
+    for _ in range(edits):
+        fresh, at = rng.integers(1, 2**63, n, dtype=np.uint64), rng.integers(0, w, n)
+        for r in range(n):
+            out[r] = np.insert(out[r], at[r], fresh[r])[:w] if insert else np.append(np.delete(out[r], at[r]), fresh[r])
+    return out
+
+
 def plan_walks(passages: np.ndarray, bits: int, max_edits: int, recall: float, most: int = 64) -> list[Walk]:
-    """As many walks as the measured hit rate at ``max_edits`` asks for.
+    """As many walks as the measured hit rate at ``max_edits`` asks for, for the worst kind of edit.
 
     Measured on at most 2,000 passages of the items; at distance 0 every walk hits, so one is enough.
     """
@@ -102,13 +122,13 @@ def plan_walks(passages: np.ndarray, bits: int, max_edits: int, recall: float, m
     if max_edits == 0 or not len(passages):
         return walks[:1]
     some = passages[np.random.default_rng(3).permutation(len(passages))[:2000]]
-    other = _edited(some, max_edits, 5)
-    missed = np.ones(len(some), bool)
+    copies = [_edited(some, max_edits, 5), _shifted(some, max_edits, 6, True), _shifted(some, max_edits, 7, False)]
+    missed = np.ones((len(copies), len(some)), bool)
     pad = np.zeros(1, np.uint64)
     for n, walk in enumerate(walks, 1):
-        a, b = (walk.signatures(np.concatenate([x.ravel(), pad]), np.arange(len(x)) * window) for x in (some, other))
-        missed &= a != b
-        if missed.mean() <= 1 - recall:
+        a, *b = (walk.signatures(np.concatenate([x.ravel(), pad]), np.arange(len(x)) * window) for x in (some, *copies))
+        missed &= a != np.stack(b)
+        if missed.mean(1).max() <= 1 - recall:
             return walks[:n]
     return walks
 
@@ -129,11 +149,11 @@ class ItemIndex:
             hit[(sig >> shift).astype(np.int64)] = True
             self.tables.append((sig[order], order, hit, shift))
 
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into starts, passage number), every pair once."""
         found = []
         for walk, (sorted_, order, hit, shift) in zip(self.walks, self.tables):
-            sig = walk.signatures(words, starts)
+            sig = walk.signatures(words, starts, stops)
             at = np.flatnonzero(hit[(sig >> shift).astype(np.int64)])
             lo, hi = np.searchsorted(sorted_, sig[at], "left"), np.searchsorted(sorted_, sig[at], "right")
             n = hi - lo
@@ -164,6 +184,34 @@ def _verified(x: np.ndarray, y: np.ndarray, max_edits: int) -> np.ndarray:
     return out
 
 
+def _matches(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, s: np.ndarray, passages: np.ndarray, max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits or -1, start, words) of the stretch of the text words[lo:hi] that matches the passage at s.
+
+    A stretch as long as the passage counts as it is. Otherwise the nearest one of up to ``max_edits`` words
+    more or less that starts at most ``max_edits`` words off s is taken, so that a stretch with a word
+    too many or too few at its edge becomes the one it belongs to.
+    """
+    window = passages.shape[1]
+    d, start, length = np.full(len(s), -1, np.int32), s.copy(), np.full(len(s), window)
+    whole = np.flatnonzero(s + window <= hi)
+    d[whole] = _verified(words[s[whole][:, None] + np.arange(window)], passages[whole], max_edits)
+    rest = np.flatnonzero(d < 0) if max_edits else np.zeros(0, np.int64)
+    for a in range(0, len(rest), _BLOCK):
+        part = rest[a : a + _BLOCK]
+        least = np.full(len(part), 1 << 40)
+        for off in sorted(range(-max_edits, max_edits + 1), key=abs):
+            b = s[part] + off
+            y = words[np.clip(b[:, None] + np.arange(window + max_edits), 0, len(words) - 1)]
+            far = prefix_distances(passages[part], y)
+            for n in range(window - max_edits, window + max_edits + 1):
+                rank = (far[n].astype(np.int64) * 1000 + abs(n - window)) * 1000 + abs(off)
+                ok = (b >= lo[part]) & (b + n <= hi[part]) & (far[n] <= max_edits) & (rank < least)
+                least[ok], d[part[ok]], start[part[ok]], length[part[ok]] = rank[ok], far[n][ok], b[ok], n
+            if off == 0:  # only what matches where it stands may move
+                part, least = part[d[part] >= 0], least[d[part] >= 0]
+    return d, start, length
+
+
 def _leaks(index: ItemIndex, max_edits: int, span: int):
     window = index.passages.shape[1]
 
@@ -171,44 +219,47 @@ def _leaks(index: ItemIndex, max_edits: int, span: int):
         for b in batches:
             values, offsets = flat(b.column("words"))
             words = np.concatenate([values.view(np.uint64), np.zeros(1, np.uint64)])
-            starts, row = passage_starts(offsets, window)
+            starts, row = passage_starts(offsets, window - max_edits)
             docs = b.column("doc_id")
             parts = []
             for a in range(0, len(starts), span):  # bounded memory for texts of any length
-                at, passage = index.candidates(words, starts[a : a + span])
-                s = starts[a : a + span][at]
-                d = _verified(words[s[:, None] + np.arange(window)], index.passages[passage], max_edits)
+                some, its = starts[a : a + span], row[a : a + span]
+                at, passage = index.candidates(words, some, offsets[its + 1])
+                r = its[at]
+                d, s, n = _matches(words, offsets[r], offsets[r + 1], some[at], index.passages[passage], max_edits)
                 ok = d >= 0
-                r = row[a : a + span][at][ok]
-                parts.append(np.stack([r, index.ids[passage[ok]], d[ok].astype(np.int64), s[ok] - offsets[r]], 1))
+                parts.append(np.stack([r, index.ids[passage], d, s - offsets[r], n, passage], 1)[ok].astype(np.int64))
             if not parts or not sum(map(len, parts)):
                 continue
-            x = np.concatenate(parts)
+            x = np.unique(np.concatenate(parts), axis=0)
             yield pa.RecordBatch.from_arrays(
-                [docs.take(pa.array(x[:, 0])), pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3])],
-                ["doc_id", "item_id", "edits", "at"],
+                [docs.take(pa.array(x[:, 0])), pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3]), pa.array(x[:, 4])],
+                ["doc_id", "item_id", "edits", "at", "n_words"],
             )
 
     return run
 
 
-def _emit(walks: list[Walk], window: int):
-    """All passages of a task's texts with their signatures, for the join of two large sides."""
+def _emit(walks: list[Walk], window: int, max_edits: int = 0):
+    """All passages of a task's texts with their signatures and the words around them that edits may
+    reach, for the join of two large sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values, offsets = flat(b.column("words"))
             words = np.concatenate([values.view(np.uint64), np.zeros(1, np.uint64)])
-            starts, row = passage_starts(offsets, window)
+            starts, row = passage_starts(offsets, window - max_edits)
             for a in range(0, len(starts), _BLOCK):
                 s, r = starts[a : a + _BLOCK], row[a : a + _BLOCK]
-                text = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(s) + 1, dtype=np.int32) * window),
-                    pa.array(words[s[:, None] + np.arange(window)].ravel().view(np.int64)),
-                )
+                lo, hi = np.maximum(s - max_edits, offsets[r]), np.minimum(s + window + 2 * max_edits, offsets[r + 1])
+                ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(hi - lo)])
+                inside = np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, hi - lo)
+                text = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words[inside].view(np.int64)))
                 for walk in walks:
-                    sig = walk.signatures(words, s).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(sig), pa.array(s - offsets[r]), text], ["id", "sig", "at", "passage"])
+                    sig = walk.signatures(words, s, offsets[r + 1]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(r)), pa.array(sig), pa.array(s - offsets[r]), pa.array(s - lo), text], ["id", "sig", "at", "before", "passage"]
+                    )
 
     return run
 
@@ -218,9 +269,12 @@ def _check(max_edits: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (flat(b.column(c))[0].reshape(b.num_rows, -1) for c in ("passage", "item_passage"))
-            d = _verified(x, y, max_edits)
-            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(d), b.column("at")], ["doc_id", "item_id", "edits", "at"])
+            words, offsets = flat(b.column("passage"))
+            passages = flat(b.column("item_passage"))[0].reshape(b.num_rows, -1)
+            s = offsets[:-1] + b.column("before").to_numpy()
+            d, start, n = _matches(words, offsets[:-1], offsets[1:], s, passages, max_edits)
+            at = pa.array(b.column("at").to_numpy() + start - s)
+            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(d), at, pa.array(n), b.column("item_passage")], ["doc_id", "item_id", "edits", "at", "n_words", "item_passage"])
             yield out.filter(pa.array(d >= 0))
 
     return run
@@ -240,11 +294,12 @@ def find_leaks(
     """One row per document and item that share a passage: (doc_id, item_id, n_passages, edits,
     first_word, last_word).
 
-    A shared passage is one of ``window`` words at most ``max_edits`` word edits apart; ``edits`` is
+    A shared passage is one of ``window`` words of the item at most ``max_edits`` words changed, left out or
+    put in away from a stretch of the document; ``edits`` is
     the least distance found, 0 for a passage of ``window`` equal consecutive words. Pairs at distance
     0 are all found; those farther apart with at least ``recall`` each passage. n_passages counts the
     matching pairs of passages, first_word and last_word bound the document's words in them.
-    Null, empty and short texts (fewer words than the window) share nothing, nor do items without an id; repeated documents and
+    Null, empty and short texts (items of fewer words than the window, documents that even edits cannot bring to it) share nothing, nor do items without an id; repeated documents and
     items count as one by id; an empty side gives no rows; texts are processed whole, in blocks of
     bounded memory; other columns are not read. The index of the items is shipped to the tasks while
     it has at most ``index_limit`` passages, which is counted first; beyond that both sides are
@@ -254,8 +309,8 @@ def find_leaks(
     i = items.select(F.col(item[0]).cast("bigint").alias("item_id"), word_hashes(F.col(item[1])).alias("words"))
     i = i.where((F.size("words") >= window) & F.col("item_id").isNotNull())
     size = i.agg(F.coalesce(F.sum(F.size("words") - (window - 1)), F.lit(0)).alias("n")).first()["n"]
-    long_enough = d.where(F.size("words") >= window)
-    raw = "doc_id bigint, item_id bigint, edits int, at bigint"
+    long_enough = d.where(F.size("words") >= window - max_edits)
+    raw = "doc_id bigint, item_id bigint, edits int, at bigint, n_words bigint"
     if size <= index_limit:
         rows = i.distinct().toArrow().combine_chunks()
         ids = rows.column("item_id").to_numpy()
@@ -270,14 +325,14 @@ def find_leaks(
         values, offsets = flat(sample)
         starts, _ = passage_starts(offsets, window)
         walks = plan_walks(values.view(np.uint64)[starts[:, None] + np.arange(window)], bits, max_edits, recall)
-        shape = "id bigint, sig bigint, at bigint, passage array<bigint>"
-        dp = long_enough.mapInArrow(_emit(walks, window), shape).select(F.col("id").alias("doc_id"), "sig", "at", "passage")
+        shape = "id bigint, sig bigint, at bigint, before bigint, passage array<bigint>"
+        dp = long_enough.mapInArrow(_emit(walks, window, max_edits), shape).select(F.col("id").alias("doc_id"), "sig", "at", "before", "passage")
         ip = i.distinct().mapInArrow(_emit(walks, window), shape).select(F.col("id").alias("item_id"), "sig", F.col("passage").alias("item_passage"))
         pairs = dp.join(ip, "sig").drop("sig").dropDuplicates(["doc_id", "at", "item_id", "item_passage"])
-        hits = pairs.mapInArrow(_check(max_edits), raw)
+        hits = pairs.mapInArrow(_check(max_edits), f"{raw}, item_passage array<bigint>").dropDuplicates(["doc_id", "at", "n_words", "item_id", "item_passage"])
     return hits.groupBy("doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("n_passages"),
         F.min("edits").alias("edits"),
         F.min("at").alias("first_word"),
-        (F.max("at") + (window - 1)).alias("last_word"),
+        (F.max(F.col("at") + F.col("n_words")) - 1).alias("last_word"),
     )
