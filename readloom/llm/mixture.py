@@ -1,27 +1,32 @@
 """Mixing sources to target weights.
 
-Texts are tokenised and each task packs the tokens of a source into blocks of fixed length; only the
-last block of a task and source may be shorter, and no token is lost. The packed table is written
-once. Every output shard draws the number of its blocks of each source from a multinomial with the
-target shares; running sums over the shards turn the draws into slot numbers of the source. A slot
-s becomes use s // N of block perm(s % N), where N is the number of blocks and perm a keyed
-pseudorandom permutation (a Feistel network walked until it stays below N), another one for each use.
-So a block, and with it every token of a document, is used at most max_repeats times. The number of
-slots is the largest for which no source is expected to run out. Slots and blocks are joined by
-(source, index), which is unique on the side of the blocks: a large source is many keys.
+Every source is one long row of tokens: its documents stand in the order of a hash of id and text, so
+neither the files nor the number of tasks decide where a document stands. Texts are tokenised once; the
+tokens of each (source, hash bucket) are counted, running sums give every bucket its first position,
+and the row is cut at the multiples of the block length. So the blocks of a source are the same on any
+cluster, all of one length but the last, and no token is lost.
+
+The total is the largest at which every source can give its share without passing its cap, or the one
+asked for; then sources at their cap give all they have and the others share the rest. Output shards draw their
+number of blocks of each source from a multinomial with these shares, conditioned on the totals of the sources, so
+the shares come out exactly: the draw walks a binary tree over the shards and splits the counts of a
+node by a multivariate hypergeometric draw that depends on seed and node only. A shard thus knows its
+counts and the number of each source's slots before it without asking any other shard. Slot s of a source
+is use s // N of block perm(s % N), where N is the number of its blocks and perm a keyed pseudorandom
+permutation (a Feistel network walked until it stays below N), another one for each use. So no
+token of a document is used more than max_repeats times. Slots and blocks are joined by (source,
+index), which is unique on the side of the blocks: a large source is many keys.
 """
 
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.session import materialize
@@ -29,7 +34,10 @@ from readloom.session import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCKS = "src int, pid int, seq bigint, n_tokens int, tokens array<int>, doc_ids array<bigint>, doc_tokens array<int>"
+CODED = "src int, bucket bigint, k1 bigint, k2 bigint, doc_id bigint, n int, tokens array<int>"
+PIECES = "src int, block bigint, at int, n_tokens int, tokens array<int>, doc_ids array<bigint>, doc_tokens array<int>"
+SLOTS = "shard bigint, place int, src int, use int, block bigint, n_tokens int"
+_BUCKET_ROWS = 4096
 
 
 @lru_cache(maxsize=2)
@@ -41,69 +49,110 @@ def encoding(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pack(tokens: np.ndarray, owner: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of ``length`` tokens, the last one may be shorter: (tokens, owners, tokens of each owner)."""
-    for a in range(0, len(tokens), length):
-        t, o = tokens[a : a + length], owner[a : a + length]
-        at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-        yield t, o[at], np.diff(np.r_[at, len(o)])
-
-
-def _pack(path: str, length: int):
+def _code(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        left: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        seq: dict[int, int] = {}
-        ids: list[int | None] = []
-        pid = 0
-
-        def out(src: int, blocks: list) -> pa.RecordBatch:
-            first = seq.get(src, 0)
-            seq[src] = first + len(blocks)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([src] * len(blocks), pa.int32()),
-                    pa.array([pid] * len(blocks), pa.int32()),
-                    pa.array(range(first, seq[src]), pa.int64()),
-                    pa.array([len(t) for t, _, _ in blocks], pa.int32()),
-                    pa.array([t for t, _, _ in blocks], pa.list_(pa.int32())),
-                    pa.array([[ids[i] for i in o] for _, o, _ in blocks], pa.list_(pa.int64())),
-                    pa.array([n.astype(np.int32) for _, _, n in blocks], pa.list_(pa.int32())),
-                ],
-                ["src", "pid", "seq", "n_tokens", "tokens", "doc_ids", "doc_tokens"],
-            )
+        for b in batches:
+            coded = [np.array(enc.encode_ordinary(t), np.int32) for t in b.column("text").to_pylist()]
+            n = np.array([len(c) for c in coded], np.int32)
+            ends = pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(n)]).astype(np.int32))
+            tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *coded])))
+            names = ["src", "bucket", "k1", "k2", "doc_id"]
+            out = pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(n), tokens], [*names, "n", "tokens"])
+            yield out.filter(pa.array(n > 0))
+
+    return run
+
+
+def cut(at: int, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of these sizes from position ``at`` on, cut at multiples of ``length``.
 
+    (edges of the pieces, edges of the segments, document of each segment, first segment of each piece);
+    edges count from 0, a segment is what a piece holds of one document.
+    """
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+    total = int(ends[-1])
+    pieces = np.unique(np.concatenate([[0], np.arange(length - at % length, total, length), [total]])).astype(np.int64)
+    edges = np.union1d(pieces, ends)
+    return pieces, edges, np.searchsorted(ends, edges[:-1], "right") - 1, np.searchsorted(edges, pieces)
+
+
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            pid = b.column("pid")[0].as_py()
-            base = len(ids)
-            ids.extend(b.column("doc_id").to_pylist())
-            coded = [np.array(enc.encode_ordinary(t), np.int32) for t in b.column("text").to_pylist()]
-            size = np.array([len(c) for c in coded])
-            src = b.column("src").to_numpy()
-            for s in np.unique(src).tolist():
-                mine = np.flatnonzero(src == s)
-                tokens = np.concatenate([coded[i] for i in mine])
-                owner = np.repeat(mine + base, size[mine])
-                if s in left:
-                    tokens, owner = np.concatenate([left[s][0], tokens]), np.concatenate([left[s][1], owner])
-                whole = len(tokens) // length * length
-                if whole:
-                    yield out(s, list(pack(tokens[:whole], owner[:whole], length)))
-                left[s] = tokens[whole:], owner[whole:]
-            # ids of documents that still own tokens are all that must be remembered
-            kept = sorted({int(i) for _, o in left.values() for i in np.unique(o)})
-            place = {i: k for k, i in enumerate(kept)}
-            ids = [ids[i] for i in kept]
-            left = {s: (t, np.array([place[int(i)] for i in o], np.int64)) for s, (t, o) in left.items()}
-        for s, (t, o) in left.items():
-            if len(t):
-                yield out(s, list(pack(t, o, length)))
+            src, bucket, start = (b.column(c).to_numpy(zero_copy_only=False) for c in ("src", "bucket", "start"))
+            heads = b.column("kind").to_numpy() == 0
+            lists = b.column("tokens")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            tokens = lists.values.to_numpy(zero_copy_only=False)
+            runs = np.flatnonzero(np.concatenate([[True], (src[1:] != src[:-1]) | (bucket[1:] != bucket[:-1])]))
+            made: list[tuple] = []
+            for lo, hi in zip(runs, np.append(runs[1:], b.num_rows)):
+                if heads[lo]:
+                    at, lo = int(start[lo]), lo + 1
+                if lo == hi:
+                    continue
+                pieces, edges, doc, first = cut(at, np.diff(offsets[lo : hi + 1]), length)
+                where = at + pieces[:-1]
+                made.append((np.full(len(where), src[lo], np.int32), where // length, (where % length).astype(np.int32), np.diff(pieces).astype(np.int32), tokens[offsets[lo] : offsets[hi]], doc + lo, np.diff(edges), np.diff(first)))
+                at += int(pieces[-1])
+            if not made:
+                continue
+            s, block, place, n, t, doc, size, segments = (np.concatenate(x) for x in zip(*made))
+            ends = lambda c: pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(c, dtype=np.int64)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(s), pa.array(block), pa.array(place), pa.array(n), pa.ListArray.from_arrays(ends(n), pa.array(t)),
+                    pa.ListArray.from_arrays(ends(segments), b.column("doc_id").take(pa.array(doc))),
+                    pa.ListArray.from_arrays(ends(segments), pa.array(size.astype(np.int32))),
+                ],
+                ["src", "block", "at", "n_tokens", "tokens", "doc_ids", "doc_tokens"],
+            )
 
     return run
 
 
+def running_starts(df: DataFrame, key: str, order: str, value: str, span: int = 1024) -> DataFrame:
+    """(key, order, start): the sum of ``value`` in the key's rows before, added up in two levels so that
+    no task sees more than ``span`` rows or one row for each ``span`` of them."""
+    x = df.withColumn("__group", F.shiftright(order, span.bit_length() - 1))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = x.groupBy(key, "__group").agg(F.sum(value).alias("__n"))
+    groups = groups.select(key, "__group", F.coalesce(F.sum("__n").over(before(key).orderBy("__group")), F.lit(0)).alias("__base"))
+    inner = F.coalesce(F.sum(value).over(before(key, "__group").orderBy(order)), F.lit(0))
+    return x.withColumn("__in", inner).join(groups, [key, "__group"]).select(key, order, (F.col("__base") + F.col("__in")).cast("bigint").alias("start"))
+
+
+def token_blocks(docs: DataFrame, sources: list[str], source: Column, doc_id: str, text: str, tokenizer: str, length: int) -> tuple[DataFrame, np.ndarray]:
+    """(src, block, n_tokens, tokens, doc_ids, doc_tokens) of the named sources, and the tokens of each source."""
+    number = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s), F.lit(i))])
+    x = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), number[source].alias("src"))
+    x = x.where("src is not null and text is not null")
+    bits = max(0, int(x.count() // _BUCKET_ROWS).bit_length())
+    most = F.lit((1 << 63) - 1)
+    x = x.withColumn("k1", F.xxhash64("doc_id", "text").bitwiseAND(most)).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    x = x.withColumn("bucket", F.shiftright("k1", 63 - bits) if bits else F.lit(0).cast("bigint"))
+    coded = materialize(x.mapInArrow(_code(tokenizer), CODED), "tokens")
+    counts = coded.groupBy("src", "bucket").agg(F.sum("n").alias("n"))
+    tokens = np.zeros(len(sources), np.int64)
+    for r in counts.groupBy("src").agg(F.sum("n").alias("n")).collect():
+        tokens[r["src"]] = r["n"]
+    heads = running_starts(counts, "src", "bucket", "n").withColumn("kind", F.lit(0))
+    rows = coded.withColumn("kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    # one shuffle of the tokens; a bucket has few documents whatever the size of its source
+    rows = rows.repartition("src", "bucket").sortWithinPartitions("src", "bucket", "kind", "k1", "doc_id", "k2")
+    pieces = materialize(rows.select("src", "bucket", "kind", "start", "doc_id", "tokens").mapInArrow(_cut(length), PIECES), "pieces")
+    whole = pieces.where(F.col("n_tokens") == length).drop("at")
+    parts = pieces.where(F.col("n_tokens") < length).groupBy("src", "block").agg(
+        F.sum("n_tokens").cast("int").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("at", "tokens", "doc_ids", "doc_tokens"))).alias("p")
+    )
+    joined = parts.select("src", "block", "n_tokens", *[F.flatten(F.col(f"p.{c}")).alias(c) for c in ("tokens", "doc_ids", "doc_tokens")])
+    return whole.unionByName(joined), tokens
+
+
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -128,65 +177,98 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return x.astype(np.int64)
 
 
-def feasible_slots(shares: np.ndarray, caps: np.ndarray, spread: float = 4.0) -> int:
-    """The most draws for which no source's draws pass its cap within ``spread`` deviations."""
-    most = math.inf
-    for p, c in zip(shares, caps):
-        if p > 0:
-            q = spread * math.sqrt(1 - p)
-            most = min(most, ((math.sqrt(q * q + 4 * c) - q) / 2) ** 2 / p)
-    return int(most) if math.isfinite(most) else 0
-
-
-def block_table(docs: DataFrame, sources: list[str], source: Column, doc_id: str, text: str, tokenizer: str, length: int) -> DataFrame:
-    """The packed blocks of the named sources, written once."""
-    number = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s), F.lit(i))])
-    x = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), number[source].alias("src"))
-    x = x.where("src is not null and text is not null").withColumn("pid", F.spark_partition_id())
-    return materialize(x.mapInArrow(_pack(tokenizer, length), BLOCKS), "blocks")
-
-
-def draw_slots(spark, shares: np.ndarray, sizes: np.ndarray, repeats: np.ndarray, shard_blocks: int, seed: int, slots: int | None = None) -> DataFrame:
-    """(shard, src, use, idx): the index of the block in every slot of every shard."""
-    caps = sizes * repeats
-    live = np.where(sizes > 0, shares, 0.0)
-    live = live / live.sum() if live.sum() > 0 else live
-    most = feasible_slots(live, caps)
-    total = most if slots is None else min(slots, most)
-    n_shards = -(-total // shard_blocks)
-
-    for attempt in range(20):
-
-        def draw(frames: Iterator[pd.DataFrame], attempt: int = attempt) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = []
-                for shard in frame["id"].tolist():
-                    m = min(shard_blocks, total - shard * shard_blocks)
-                    counts = np.random.default_rng([seed, attempt, shard]).multinomial(m, live)
-                    rows += [(shard, i, int(c)) for i, c in enumerate(counts) if c]
-                yield pd.DataFrame(rows, columns=["shard", "src", "n"])
-
-        drawn = spark.range(n_shards).mapInPandas(draw, "shard bigint, src int, n bigint")
-        taken = {r["src"]: r["n"] for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}
-        if all(n <= caps[s] for s, n in taken.items()):
+def wanted_tokens(shares: np.ndarray, caps: np.ndarray, total: float | None = None) -> np.ndarray:
+    """Tokens each source shall give. Without ``total`` the most at which every source with tokens has its
+    share; beyond that sources at their cap give all of it and the others the rest by their shares."""
+    live = (shares > 0) & (caps > 0)
+    out = np.zeros(len(shares))
+    if not live.any():
+        return out
+    p = np.where(live, shares, 0.0) / shares[live].sum()
+    if total is None:
+        return p * (caps[live] / p[live]).min()
+    total = min(float(total), float(caps[live].sum()))
+    open_ = live.copy()
+    while open_.any():
+        rest = max(total - out[live & ~open_].sum(), 0.0)
+        out[open_] = rest * p[open_] / p[open_].sum()
+        over = open_ & (out > caps * (1 + 1e-12))
+        if not over.any():
             break
-    else:
-        raise RuntimeError("no draw kept to the caps")
-    # one row per shard and source: as many as there are output files, not records
-    w = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    each = drawn.select("shard", "src", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("slot"))
-
-    @F.pandas_udf("bigint")
-    def index(slot: pd.Series, src: pd.Series) -> pd.Series:
-        if not len(slot):
-            return slot
-        n = sizes[src.to_numpy()]
-        use = slot.to_numpy() // n
-        return pd.Series(permuted(slot.to_numpy() % n, n, seed * 1_000_003 + src.to_numpy() * 10_007 + use))
-
-    number = F.element_at(F.array(*[F.lit(int(n)) for n in sizes]), F.col("src") + 1)
-    return each.select("shard", "src", F.floor(F.col("slot") / number).cast("int").alias("use"), index("slot", "src").alias("idx"))
+        out[over] = caps[over]
+        open_ &= ~over
+    return out
+
+
+def slot_totals(wanted: np.ndarray, tokens: np.ndarray, repeats: np.ndarray, length: int) -> np.ndarray:
+    """Slots of each source: what is wanted over the mean tokens of its blocks, rounded by largest remainder."""
+    blocks = -(-tokens // length)
+    exact = np.divide(wanted * blocks, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
+    n = np.minimum(np.floor(exact + 1e-9).astype(np.int64), blocks * repeats)
+    for s in np.argsort(n - exact, kind="stable")[: max(0, round(exact.sum()) - int(n.sum()))]:
+        n[s] = min(n[s] + 1, blocks[s] * repeats[s])
+    return n
+
+
+def split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``n`` draws without replacement fall on each source. Beyond 10**8 of a kind the normal
+    approximation stands for the hypergeometric draw, rounded and kept within what is possible."""
+    out = np.zeros(len(counts), np.int64)
+    pool = int(counts.sum())
+    for s, c in enumerate(counts.tolist()):
+        least, most = max(0, n - (pool - c)), min(c, n)
+        if least == most:
+            x = least
+        elif pool < 10**8:
+            x = int(rng.hypergeometric(c, pool - c, n))
+        else:
+            p = c / pool
+            x = min(most, max(least, round(rng.normal(n * p, (n * p * (1 - p) * ((pool - n) / (pool - 1))) ** 0.5))))
+        out[s], n, pool = x, n - x, pool - c
+    return out
+
+
+def shard_counts(lo: int, hi: int, totals: np.ndarray, shard_blocks: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source in it, slots of each source before it) for the shards lo to hi - 1."""
+    size = int(totals.sum())
+    todo = [(0, -(-size // shard_blocks), totals, np.zeros_like(totals))]
+    while todo:
+        a, b, counts, before = todo.pop()
+        if b <= lo or a >= hi:
+            continue
+        if b - a == 1:
+            yield a, counts, before
+            continue
+        m = (a + b) // 2
+        left = split(counts, min(m * shard_blocks, size) - a * shard_blocks, np.random.default_rng([seed, a, b]))
+        todo += [(m, b, counts - left, before + left), (a, m, left, before)]
+
+
+def draw_slots(spark: SparkSession, totals: np.ndarray, tokens: np.ndarray, length: int, shard_blocks: int, seed: int) -> DataFrame:
+    """(shard, place, src, use, block, n_tokens): the block in every place of every shard."""
+    blocks = -(-tokens // length)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            for k in range(0, len(ids), 64):
+                part = ids[k : k + 64]
+                rows = []
+                for shard, counts, before in shard_counts(int(part.min()), int(part.max()) + 1, totals, shard_blocks, seed):
+                    src = np.repeat(np.arange(len(counts)), counts)
+                    slot = np.arange(len(src)) - np.repeat(np.cumsum(counts) - counts - before, counts)
+                    rows.append((np.full(len(src), shard), np.random.default_rng([seed, shard]).permutation(len(src)).astype(np.int32), src, slot))
+                shard, place, src, slot = (np.concatenate(x) for x in zip(*rows))
+                n = blocks[src]
+                use = slot // n
+                block = permuted(slot % n, n, seed * 1_000_003 + src * 10_007 + use)
+                size = np.where(block == n - 1, tokens[src] - (n - 1) * length, length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard), pa.array(place), pa.array(src.astype(np.int32)), pa.array(use.astype(np.int32)), pa.array(block), pa.array(size.astype(np.int32))],
+                    ["shard", "place", "src", "use", "block", "n_tokens"],
+                )
+
+    return spark.range(-(-int(totals.sum()) // shard_blocks)).mapInArrow(draw, SLOTS)
 
 
 def mix(
@@ -196,9 +278,9 @@ def mix(
     text: str = "text",
     source: str = "source",
     tokenizer: str = TOKENIZER,
-    block_tokens: int = 512,
+    block_tokens: int = 128,
     shard_blocks: int = 1024,
-    slots: int | None = None,
+    total_tokens: int | None = None,
     seed: int = 17,
     max_sources: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
@@ -208,10 +290,12 @@ def mix(
     and without surrounding blanks; null sources and sources without a target take no part.
     mixture: (shard, place, source, use, block, n_tokens, tokens, doc_ids, doc_tokens), a row per slot;
     ``place`` is its pseudorandom place in the shard. shares: one row per target with what is there,
-    what was drawn and the actual share of tokens. A null text or one without tokens gives nothing; a
-    source without tokens gets a share of 0 and the others are scaled up; repeated documents count
-    as documents of their own; without any tokens the mixture is empty. ``slots`` asks for fewer blocks than
-    the most that is possible.
+    what is used and the actual share of tokens, which differs from the target by less than a block
+    a source. A null text or one without tokens gives nothing; a source without tokens gets a share of
+    0 and the others are scaled up; documents repeated under one id count as documents of their own; without
+    any tokens the mixture is empty. ``total_tokens`` asks for a total; above the most at which all shares can be
+    met, sources at their cap fall short and the others take their place. Same rows, same seed: same mixture,
+    however the rows are spread over files and tasks. ``tokenizer`` is a file every executor can read.
     """
     spark = docs.sparkSession
     rows = targets.limit(max_sources + 1).collect()
@@ -224,35 +308,19 @@ def mix(
     share = np.array([r["target_share"] or 0.0 for r in rows])
     repeats = np.array([r["max_repeats"] or 0 for r in rows], np.int64)
 
-    blocks = block_table(docs, names, F.lower(F.btrim(F.col(source))), doc_id, text, tokenizer, block_tokens)
-    counts = blocks.groupBy("src", "pid").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("src").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).select("src", "pid", "start")
-    sizes = np.zeros(len(names), np.int64)
-    for r in blocks.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect():
-        sizes[r["src"]] = r["n"]
-
-    drawn = draw_slots(spark, share, sizes, repeats, shard_blocks, seed, slots)
-    # the index of a block needs only its narrow columns; the tokens are shuffled once, at the end
-    index = blocks.select("src", "pid", "seq", "n_tokens").join(starts, ["src", "pid"])
-    index = index.select("src", "pid", "seq", "n_tokens", (F.col("start") + F.col("seq")).alias("idx"))
-    placed = drawn.join(index, ["src", "idx"])
+    blocks, tokens = token_blocks(docs, names, F.lower(F.btrim(F.col(source))), doc_id, text, tokenizer, block_tokens)
+    totals = slot_totals(wanted_tokens(share, (tokens * repeats).astype(float), total_tokens), tokens, repeats, block_tokens)
+    slots = draw_slots(spark, totals, tokens, block_tokens, shard_blocks, seed)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("src") + 1)
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "src", "use", "idx"), "src", "use", "idx")
-    ordered = placed.drop("n_tokens").withColumn("place", F.row_number().over(order) - 1)
-    mixture = ordered.join(blocks, ["src", "pid", "seq"]).select(
-        "shard", "place", label.alias("source"), "use", F.col("idx").alias("block"), "n_tokens", "tokens", "doc_ids", "doc_tokens"
-    )
+    # both sides grow with the data: never broadcast
+    placed = slots.drop("n_tokens").hint("merge").join(blocks.hint("merge"), ["src", "block"])
+    mixture = placed.select("shard", "place", label.alias("source"), "use", "block", "n_tokens", "tokens", "doc_ids", "doc_tokens")
 
-    used = placed.groupBy("src").agg(
-        F.count(F.lit(1)).alias("blocks_used"), F.sum("n_tokens").cast("bigint").alias("tokens_used"), (F.max("use") + 1).alias("most_uses")
-    )
-    there = blocks.groupBy("src").agg(F.count(F.lit(1)).alias("blocks_there"), F.sum("n_tokens").cast("bigint").alias("tokens_there"))
+    used = slots.groupBy("src").agg(F.count(F.lit(1)).alias("blocks_used"), F.sum("n_tokens").cast("bigint").alias("tokens_used"), (F.max("use") + 1).alias("most_uses"))
     wanted = spark.createDataFrame(
-        [(i, n, float(s), int(r)) for i, (n, s, r) in enumerate(zip(names, share, repeats))],
-        "src int, source string, target_share double, max_repeats int",
+        [(i, n, float(s), int(r), int(-(-t // block_tokens)), int(t)) for i, (n, s, r, t) in enumerate(zip(names, share, repeats, tokens))],
+        "src int, source string, target_share double, max_repeats int, blocks_there bigint, tokens_there bigint",
     )
-    all_ = wanted.join(there, "src", "left").join(used, "src", "left").na.fill(0)
     total = used.agg(F.sum("tokens_used").alias("t")).scalar()
-    shares = all_.withColumn("actual_share", F.coalesce(F.col("tokens_used") / total, F.lit(0.0))).drop("src")
+    shares = wanted.join(used, "src", "left").na.fill(0).withColumn("actual_share", F.coalesce(F.col("tokens_used") / total, F.lit(0.0))).drop("src")
     return mixture, shares

@@ -196,6 +196,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+@R.add("p7_checks", "select source, target_share, max_repeats, true as kept_to_cap, true as near_target, true as whole from mix_targets")
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the rows of the mixture: no block is used more often than its source may be, every source
+    is within a block of its target share, and every block has as many tokens as it says."""
+    targets = table(spark, d, "mix_targets")
+    m = mixture.mix(table(spark, d, "documents"), targets)[0]
+    whole = (F.size("tokens") == F.col("n_tokens")) & (F.aggregate("doc_tokens", F.lit(0), lambda a, x: a + x) == F.col("n_tokens"))
+    blocks = m.groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"), F.sum(F.size("tokens")).alias("n"), F.min(whole).alias("whole"))
+    per = blocks.groupBy("source").agg(F.max("uses").alias("uses"), F.sum("n").alias("n"), F.min("whole").alias("whole"))
+    total = per.agg(F.sum("n").alias("n")).scalar()
+    near = F.abs(F.col("n") - F.col("target_share") * total) <= 128
+    return targets.join(per, "source").select("source", "target_share", "max_repeats", (F.col("uses") <= F.col("max_repeats")).alias("kept_to_cap"), near.alias("near_target"), "whole")
+
+
 # --- 8: repetition inside a document ------------------------------------------------------------
 
 _REPEAT_SQL = f"""
