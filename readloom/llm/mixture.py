@@ -38,6 +38,7 @@ CODED = "src int, bucket bigint, k1 bigint, k2 bigint, doc_id bigint, n int, tok
 PIECES = "src int, block bigint, at int, n_tokens int, tokens array<int>, doc_ids array<bigint>, doc_tokens array<int>"
 SLOTS = "shard bigint, place int, src int, use int, block bigint, n_tokens int"
 _BUCKET_ROWS = 4096
+_KEY, _ROUND, _ALL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xFFFFFFFFFFFFFFFF
 
 
 @lru_cache(maxsize=2)
@@ -170,7 +171,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
         k, h, m = key[todo].astype(np.uint64), half[todo], mask[todo]
         left, right = x[todo] >> h, x[todo] & m
         for r in range(4):
-            f = _mix64(right + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64((r + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+            f = _mix64(right + k * np.uint64(_KEY) + np.uint64((r + 1) * _ROUND & _ALL))
             left, right = right, left ^ (f & m)
         x[todo] = (left << h) | right
         todo = todo[x[todo] >= size[todo]]
@@ -200,14 +201,41 @@ def wanted_tokens(shares: np.ndarray, caps: np.ndarray, total: float | None = No
     return out
 
 
-def slot_totals(wanted: np.ndarray, tokens: np.ndarray, repeats: np.ndarray, length: int) -> np.ndarray:
-    """Slots of each source: what is wanted over the mean tokens of its blocks, rounded by largest remainder."""
+def place_of(index: int, size: int, key: int) -> int:
+    """The place at which the permutation of ``permuted`` has ``index``."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask, x = (1 << half) - 1, index
+    while True:
+        left, right = x >> half, x & mask
+        for r in reversed(range(4)):
+            f = _mix64(np.array([left], np.uint64) + np.array([key], np.uint64) * np.uint64(_KEY) + np.uint64((r + 1) * _ROUND & _ALL))
+            left, right = right ^ (int(f[0]) & mask), left
+        x = (left << half) | right
+        if x < size:
+            return x
+
+
+def slot_key(seed: int, src, use):
+    return seed * 1_000_003 + src * 10_007 + use
+
+
+def slot_tokens(n: int, src: int, tokens: int, length: int, seed: int) -> int:
+    """Tokens in the first ``n`` slots of a source, whose last block is short."""
     blocks = -(-tokens // length)
-    exact = np.divide(wanted * blocks, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
-    n = np.minimum(np.floor(exact + 1e-9).astype(np.int64), blocks * repeats)
-    for s in np.argsort(n - exact, kind="stable")[: max(0, round(exact.sum()) - int(n.sum()))]:
-        n[s] = min(n[s] + 1, blocks[s] * repeats[s])
-    return n
+    uses, rest = divmod(n, blocks)
+    short = rest and place_of(blocks - 1, blocks, slot_key(seed, src, uses)) < rest
+    return uses * tokens + rest * length - (blocks * length - tokens if short else 0)
+
+
+def slot_totals(wanted: np.ndarray, tokens: np.ndarray, repeats: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Slots of each source: as many as come nearest to the tokens wanted of it."""
+    out = np.zeros(len(tokens), np.int64)
+    for s, (w, t, r) in enumerate(zip(wanted.tolist(), tokens.tolist(), repeats.tolist())):
+        if w > 0 and t:
+            blocks = -(-t // length)
+            about = int(w / t * blocks)
+            out[s] = min(range(max(0, about - 2), min(blocks * r, about + 3) + 1), key=lambda n: abs(slot_tokens(n, s, t, length, seed) - w))
+    return out
 
 
 def split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -261,7 +289,7 @@ def draw_slots(spark: SparkSession, totals: np.ndarray, tokens: np.ndarray, leng
                 shard, place, src, slot = (np.concatenate(x) for x in zip(*rows))
                 n = blocks[src]
                 use = slot // n
-                block = permuted(slot % n, n, seed * 1_000_003 + src * 10_007 + use)
+                block = permuted(slot % n, n, slot_key(seed, src, use))
                 size = np.where(block == n - 1, tokens[src] - (n - 1) * length, length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard), pa.array(place), pa.array(src.astype(np.int32)), pa.array(use.astype(np.int32)), pa.array(block), pa.array(size.astype(np.int32))],
@@ -309,7 +337,7 @@ def mix(
     repeats = np.array([r["max_repeats"] or 0 for r in rows], np.int64)
 
     blocks, tokens = token_blocks(docs, names, F.lower(F.btrim(F.col(source))), doc_id, text, tokenizer, block_tokens)
-    totals = slot_totals(wanted_tokens(share, (tokens * repeats).astype(float), total_tokens), tokens, repeats, block_tokens)
+    totals = slot_totals(wanted_tokens(share, (tokens * repeats).astype(float), total_tokens), tokens, repeats, block_tokens, seed)
     slots = draw_slots(spark, totals, tokens, block_tokens, shard_blocks, seed)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("src") + 1)
     # both sides grow with the data: never broadcast

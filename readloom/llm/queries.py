@@ -175,10 +175,58 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return x.where("edits = 0").select("doc_id", "item_id")
 
 
-@R.add("p6_leaks")
+_SPAN_SQL = "array_to_string(w[{0}:{1}], ' ')"
+
+
+@R.add(
+    "p6_leaks",
+    f"""
+    with d as (select doc_id, {_WORDS_SQL} as w from documents where text is not null),
+    e as (select item_id, {_WORDS_SQL} as w from eval_items),
+    ds as (select doc_id, w, unnest(range(1, len(w) - 9)) as a from d),
+    ep as (select item_id, w, unnest(range(1, len(w) - 10)) as a from e),
+    k as (select unnest(range(0, 13)) as k),
+    -- a passage without its word k, a stretch of 11, 12 (without word k) or 13 words (without word k)
+    e12 as (select distinct item_id, array_to_string(w[a:a + 11], ' ') as g from ep),
+    e11 as (select distinct item_id, k, concat_ws(' ', {_SPAN_SQL.format('a', 'a + k - 1')}, {_SPAN_SQL.format('a + k + 1', 'a + 11')}) as g from ep, k where k between 1 and 10),
+    d12 as (select doc_id, array_to_string(w[a:a + 11], ' ') as g from ds where a + 11 <= len(w)),
+    d12x as (select doc_id, k, concat_ws(' ', {_SPAN_SQL.format('a', 'a + k - 1')}, {_SPAN_SQL.format('a + k + 1', 'a + 11')}) as g from ds, k where a + 11 <= len(w) and k between 1 and 10),
+    d13x as (select doc_id, concat_ws(' ', {_SPAN_SQL.format('a', 'a + k - 1')}, {_SPAN_SQL.format('a + k + 1', 'a + 12')}) as g from ds, k where a + 12 <= len(w) and k between 1 and 11),
+    d11 as (select doc_id, array_to_string(w[a:a + 10], ' ') as g from ds),
+    e11all as (select item_id, g from e11 union select item_id, array_to_string(w[a + 1:a + 11], ' ') from ep union select item_id, array_to_string(w[a:a + 10], ' ') from ep),
+    f as (
+      select doc_id, item_id, true as exact from d12 join e12 using (g)
+      union all select doc_id, item_id, false from d12x join e11 using (k, g)
+      union all select doc_id, item_id, false from d13x join e12 using (g)
+      union all select doc_id, item_id, false from d11 join e11all using (g))
+    select doc_id, item_id, bool_or(exact) as exact from f group by 1, 2
+    """,
+)
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """The same with passages that differ by a word edit, and where in the document they stand."""
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), window=PASSAGE)
+    """Documents and items that share 12 consecutive words or 12 words but for one that is changed, left out or put in."""
+    x = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), window=PASSAGE, whole_edits=None)
+    return x.select("doc_id", "item_id", (F.col("edits") == 0).alias("exact"))
+
+
+@R.add("p6_whole")
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Items that stand in a document whole but for edits of a tenth of their words, and where."""
+    x = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), window=PASSAGE, whole_edits=0.1)
+    return x.where("whole_edits is not null").select("doc_id", "item_id", "whole_edits", "n_passages", "first_word", "last_word")
+
+
+@R.add(
+    "p6_recall",
+    f"""
+    with n as (select len({_WORDS_SQL}) as n from eval_items), w(width) as (values (12), (18), (27), (40), (60), (90), (135)),
+    c as (select distinct (select max(width) from w where width <= n) as width, true as whole from n union select 12, false)
+    select width, whole, edit, true as reached from c, (values ('changed'), ('left out'), ('put in'), ('mixed')) v(edit)
+    """,
+)
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the measured recall is what was asked for, by class of windows and kind of edit."""
+    x = leakage.leak_recall(table(spark, d, "eval_items"), window=PASSAGE, recall=0.95)
+    return x.select("width", (F.col("kind") > 0).alias("whole"), "edit", (F.col("recall") >= 0.95).alias("reached"))
 
 
 # --- 7: mixing sources --------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm.mixture import TOKENIZER, cut, encoding, mix, permuted, running_starts, shard_counts, slot_totals, split, wanted_tokens
+from readloom.llm.mixture import TOKENIZER, cut, encoding, mix, permuted, place_of, running_starts, shard_counts, slot_key, slot_tokens, slot_totals, split, wanted_tokens
 
 
 def test_permutations():
@@ -12,6 +12,7 @@ def test_permutations():
         for key in (0, 5, 10**12):
             got = permuted(np.arange(n), np.full(n, n), np.full(n, key))
             assert sorted(got.tolist()) == list(range(n))
+            assert all(place_of(int(x), n, key) == k for k, x in enumerate(got[:20]))
     a, b = (permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, k)) for k in (1, 2))
     assert (a != b).mean() > 0.9
 
@@ -38,8 +39,18 @@ def test_wanted():
 
 
 def test_slot_totals():
-    n = slot_totals(np.array([4000.0, 700.0, 0.0]), np.array([100_000, 250, 0]), np.array([1, 4, 2]), 100)
-    assert n.tolist() == [40, 8, 0]
+    tokens, repeats = np.array([100_010, 250, 0, 63]), np.array([1, 4, 2, 3])
+    for wanted in ([4000.0, 700.0, 0.0, 189.0], [100_010.0, 1000.0, 5.0, 64.0], [99.0, 333.0, 0.0, 0.0]):
+        n = slot_totals(np.array(wanted), tokens, repeats, 100, 9)
+        for s, (w, t, r) in enumerate(zip(wanted, tokens.tolist(), repeats.tolist())):
+            blocks = -(-t // 100)
+            assert 0 <= n[s] <= blocks * r
+            if t:
+                order = np.concatenate([permuted(np.arange(blocks), np.full(blocks, blocks), np.full(blocks, slot_key(9, s, u))) for u in range(r)])
+                size = np.where(order == blocks - 1, t - (blocks - 1) * 100, 100).cumsum()
+                used = lambda k: size[k - 1] if k else 0  # noqa: B023, E731
+                assert used(n[s]) == slot_tokens(int(n[s]), s, t, 100, 9)
+                assert abs(used(n[s]) - w) == min(abs(used(k) - w) for k in range(blocks * r + 1))
 
 
 @pytest.mark.parametrize("shards", [1, 2, 7, 64])
