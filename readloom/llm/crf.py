@@ -93,18 +93,8 @@ class ChainCRF:
             p = p - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         return cls(p[:-4].copy(), p[-4:].reshape(2, 2).copy())
 
-    def secure(self, feature: int) -> ChainCRF:
-        """A copy in which a row with ``feature`` is boilerplate whatever its other features and neighbours.
-
-        Its worst score is its own weight plus every negative one plus the worst transitions; the
-        weight is raised until that is positive.
-        """
-        t = self.transitions
-        into = min(t[i, 1] - t[i, 0] for i in (0, 1))
-        out = min(t[1, i] - t[0, i] for i in (0, 1))
-        others = np.delete(self.weights, feature)
-        worst = self.weights[feature] + np.minimum(others, 0).sum() + min(into, 0) + min(out, 0)
+    def leaning(self, odds: float) -> ChainCRF:
+        """A copy whose rows all have ``odds`` more, in logarithms, of being boilerplate; feature 0 is always set."""
         w = self.weights.copy()
-        if worst <= 0:
-            w[feature] += 1e-6 - worst
-        return ChainCRF(w, t)
+        w[0] += odds
+        return ChainCRF(w, self.transitions)

@@ -285,3 +285,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 def p8_labels(spark: SparkSession, d: str) -> DataFrame:
     """Everything the labeller says of every document."""
     return repetition.repetition(table(spark, d, "documents"))
+
+
+@R.add("p8_retained")
+def p8_retained(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which at least 0.7 of the words stand in lines the CRF takes for content."""
+    return repetition.retained(table(spark, d, "documents")).select("doc_id", "content_share")
+
+
+@R.add("p8_quality", "select planted, true as precise, true as complete from (values ('sentence'), ('phrase'), ('passage')) v(planted)")
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Whether precision and recall of the CRF are at least 0.95 on held-out documents with planted repetition."""
+    x = repetition.label_quality(table(spark, d, "documents"))
+    return x.select("planted", (F.col("precision") >= 0.95).alias("precise"), (F.col("recall") >= 0.95).alias("complete"))

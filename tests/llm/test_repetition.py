@@ -5,7 +5,8 @@ import pytest
 import regex
 
 from readloom.llm.crf import ChainCRF
-from readloom.llm.repetition import SECURED, repeated_words, repeating_documents, repetition
+from readloom.llm.repetition import PLANTED, Labeller, label_quality, plant, repeated_words, repeating_documents, repetition, retained
+from readloom.llm.repetition import _cut_lines as cut_lines
 
 
 def share(t, run=6):
@@ -42,8 +43,8 @@ def test_against_brute_force(spark):
         assert got[i]["repeated_share"] == (r / n if n else 0) and 0 <= got[i]["content_share"] <= 1
     want = sorted(i for i, t in enumerate(docs) for n, r in [share(t)] if n and r / n >= 0.3)
     assert sorted(r["doc_id"] for r in repeating_documents(df).collect()) == want and len(want) > 10
-    with pytest.raises(ValueError):
-        repeating_documents(df, 0.2)
+    few = sorted(i for i, t in enumerate(docs) for n, r in [share(t)] if n and r / n >= 0.1)
+    assert sorted(r["doc_id"] for r in repeating_documents(df, 0.1).collect()) == few
 
 
 def test_rows_are_kept(spark):
@@ -94,10 +95,59 @@ def test_viterbi_against_all_labellings():
         assert score(got[a:b].tolist()) == pytest.approx(max(map(score, product((0, 1), repeat=int(b - a)))))
 
 
-def test_secured_feature_always_wins():
+def test_leaning_marks_no_fewer():
     rng = np.random.default_rng(9)
-    for _ in range(20):
-        model = ChainCRF(rng.normal(size=9) * 3, rng.normal(size=(2, 2)) * 3).secure(SECURED)
-        x = (rng.random((300, 9)) < 0.5).astype(float)
-        label = model.viterbi(x, np.arange(0, 301, 30))
-        assert label[x[:, SECURED] == 1].all()
+    model = ChainCRF(rng.normal(size=9), np.zeros((2, 2)))
+    x = (rng.random((300, 9)) < 0.5).astype(float)
+    x[:, 0] = 1
+    one, more = (model.leaning(k).viterbi(x, np.arange(0, 301, 30)) for k in (0, 2))
+    assert (more >= one).all() and more.sum() > one.sum()
+
+
+def plain_text(rng, n):
+    return [[f"v{rng.randrange(3000)}" for _ in range(rng.randrange(5, 20))] for _ in range(n)]
+
+
+def spam(rng):
+    """(text, words planted of all words) with a sentence said again and again."""
+    lines = plain_text(rng, 8)
+    copies = [lines[3]] * rng.randrange(5, 15)
+    all_ = lines[:5] + copies + lines[5:]
+    return ". ".join(" ".join(x) for x in all_), sum(map(len, copies)) / sum(map(len, all_))
+
+
+def test_the_crf_decides_what_is_retained(spark, monkeypatch):
+    rng = random.Random(3)
+    clean = [(i, ". ".join(" ".join(x) for x in plain_text(rng, 10))) for i in range(300)]
+    dirty = [(1000 + i, *spam(rng)) for i in range(60)]
+    df = spark.createDataFrame(clean + [r[:2] for r in dirty], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["content_share"] for r in repetition(df).collect()}
+    assert all(abs(got[i] - (1 - p)) < 0.12 for i, _, p in dirty)
+    assert sum(got[i] > 0.95 for i, _ in clean) >= 297
+    kept = {r["doc_id"] for r in retained(df, 0.7).collect()}
+    assert kept == {i for i, c in got.items() if c >= 0.7} and not kept & {i for i, _, p in dirty if p > 0.45}
+    # another labeller, another result: the labels are what decides
+    monkeypatch.setattr(Labeller, "__init__", lambda self, *_: vars(self).update(model=ChainCRF(np.zeros(21), np.zeros((2, 2))), leaning=ChainCRF(np.zeros(21), np.zeros((2, 2))), quality=[]))
+    assert retained(df, 0.7).count() == len(got) and repeating_documents(df).count() == 0
+
+
+def test_quality_on_held_out_documents(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, ". ".join(" ".join(x) for x in plain_text(rng, 10))) for i in range(400)], "doc_id bigint, text string")
+    rows = label_quality(df).collect()
+    assert {r["planted"] for r in rows} == set(PLANTED) and all(r["precision"] > 0.93 and r["recall"] > 0.93 and r["n_planted"] > 20 for r in rows)
+
+
+def test_planting():
+    rng = np.random.default_rng(1)
+    lines = [np.arange(k * 10, k * 10 + 7, dtype=np.uint64) for k in range(6)]
+    for kind in (*PLANTED, None):
+        for _ in range(30):
+            words, at, flag = plant(lines, kind, rng)
+            assert at[0] == 0 and at[-1] == len(words) == len(flag)
+            assert np.array_equal(words[~flag], np.concatenate(lines)) and flag.any() == (kind is not None)
+
+
+def test_long_lines_are_cut():
+    at, docs = cut_lines(np.array([0, 50, 50, 51]), np.array([0, 1, 1, 3]), 24)
+    assert at.tolist() == [0, 24, 48, 50, 50, 51] and docs.tolist() == [0, 3, 3, 5]
