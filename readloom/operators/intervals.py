@@ -1,9 +1,10 @@
 """Continuous stretches and gaps of interval sets.
 
-A mergeable aggregate whose state is a sorted list of disjoint intervals. Level 0 folds the rows of
-a task into such lists, one per key and coordinate bin, in a bounded buffer; the next levels combine
-lists by linear merge. Bins make every list bounded (at most bin_width / 2 entries) whatever share
-of the rows a key holds. The last step joins stretches that cross bins with a window over one summary
+A mergeable aggregate whose state is a sorted list of disjoint intervals. Every task folds its rows into
+disjoint intervals in a bounded buffer; these runs are written once and tell how wide the coordinate bins must be. The runs
+become one list per key, bin and task, and a reduction tree combines the lists of ``fan_in`` tasks at a time by linear
+merges of two sorted lists, as many levels as the number of tasks asks for, so no task ever gets all partial
+lists of a hot key and bin. The last step joins stretches that cross bins with a window over one summary
 row per bin, and emits the lists and their complement.
 """
 
@@ -13,31 +14,37 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.session import materialize
 
-_SPAN = 1 << 42
+#: intervals a bin of a key with all rows would hold, if they were evenly spread
+BIN_ROWS = 1 << 17
+#: a position inside a bin and the number of a group fit into 64 bits together
+_WIDEST = 1 << 42
 
 
-def merge_sorted(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint intervals of each group: (row at which each begins, start, end).
-
-    Rows come sorted by (group, start). Touching intervals are one. One linear pass: the running
-    maximum of the ends is kept apart between groups by an offset per group.
-    """
+def sweep(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint intervals of intervals sorted by start: (row at which each begins, its end). Touching ones are one."""
     if not len(start):
-        return np.array([], np.int64), start, end
-    base = start.min()
-    if end.max() - base >= _SPAN:
-        raise ValueError("coordinates of one merge may span at most 2**42")
-    g = np.cumsum(np.r_[True, group[1:] != group[:-1]]).astype(np.int64) * _SPAN
-    s, e = start - base + g, np.maximum.accumulate(end - base + g)
-    at = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
-    last = np.r_[at[1:] - 1, len(s) - 1]
-    return at, start[at], e[last] - g[last] + base
+        return np.zeros(0, np.int64), end
+    upto = np.maximum.accumulate(end)
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > upto[:-1]]))
+    return at, upto[np.append(at[1:], len(start)) - 1]
+
+
+def merge_sorted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Linear merge of two lists (starts, ends), each sorted and disjoint, into one."""
+    (sa, ea), (sb, eb) = a, b
+    s, e = np.empty(len(sa) + len(sb), np.int64), np.empty(len(sa) + len(sb), np.int64)
+    ia = np.arange(len(sa)) + np.searchsorted(sb, sa, "left")
+    ib = np.arange(len(sb)) + np.searchsorted(sa, sb, "right")
+    s[ia], e[ia], s[ib], e[ib] = sa, ea, sb, eb
+    at, e = sweep(s, e)
+    return s[at], e
 
 
 def _codes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
@@ -50,111 +57,182 @@ def _codes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return code
 
 
+def disjoint(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsorted intervals of several groups to disjoint ones: (row at which each begins, its end), by group and start.
+
+    The sweep runs over (group, coordinate) as one number; where coordinates are too far apart for that,
+    their ranks stand for them.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), end
+    base, span = int(start.min()), int(end.max()) - int(start.min()) + 1
+    back = None
+    if (int(code.max()) + 1) * span < 1 << 62:
+        s, e = start - base, end - base
+    else:
+        back, ranks = np.unique(np.concatenate([start, end]), return_inverse=True)
+        s, e, span = ranks[: len(start)], ranks[len(start) :], len(back)
+    s, e = s + code * span, e + code * span
+    order = np.argsort(s, kind="stable")
+    # the end of one group may equal the start of the next, never pass it: a group's first row always begins a list
+    new = np.concatenate([[True], code[order[1:]] != code[order[:-1]]])
+    s, e = s[order], np.maximum.accumulate(e[order])
+    at = np.flatnonzero(new | np.concatenate([[True], s[1:] > e[:-1]]))
+    e = e[np.append(at[1:], len(s)) - 1] - code[order[at]] * span
+    return order[at], back[e] if back is not None else e + base
+
+
 def _fold(table: pa.Table, keys: Sequence[str]) -> pa.Table:
     """Rows (keys, __s, __e) to disjoint rows."""
-    code = _codes(table, keys)
-    s, e = (table.column(c).to_numpy() for c in ("__s", "__e"))
-    order = np.lexsort((s, code))
-    at, s, e = merge_sorted(code[order], s[order], e[order])
-    picked = table.select(list(keys)).take(pa.array(order[at]))
-    return picked.append_column("__s", pa.array(s, pa.int64())).append_column("__e", pa.array(e, pa.int64()))
-
-
-def _to_lists(table: pa.Table, keys: Sequence[str], width: int) -> pa.Table:
-    """Disjoint rows, cut at bin borders, to one list state per (keys, bin)."""
-    s, e = (table.column(c).to_numpy() for c in ("__s", "__e"))
-    b0, b1 = s // width, (e - 1) // width
-    n = b1 - b0 + 1
-    at = np.repeat(np.arange(len(s)), n)
-    step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    b = b0[at] + step
-    s, e = np.maximum(s[at], b * width), np.minimum(e[at], (b + 1) * width)
-    code = _codes(table, keys)[at]
-    order = np.lexsort((s, b, code))
-    at, b, s, e, code = at[order], b[order], s[order], e[order], code[order]
-    new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (b[1:] != b[:-1])]) if len(s) else np.array([], np.int64)
-    offsets = pa.array(np.r_[new, len(s)].astype(np.int32))
-    out = table.select(list(keys)).take(pa.array(at[new]))
-    out = out.append_column("__bin", pa.array(b[new], pa.int64()))
-    out = out.append_column("__starts", pa.ListArray.from_arrays(offsets, pa.array(s, pa.int64())))
-    return out.append_column("__ends", pa.ListArray.from_arrays(offsets, pa.array(e, pa.int64())))
-
-
-def _flat(table: pa.Table, keys: Sequence[str]) -> pa.Table:
-    """List states back to rows (keys, __bin, __s, __e)."""
-    starts, ends = (table.column(c).combine_chunks() for c in ("__starts", "__ends"))
-    n = np.diff(starts.offsets.to_numpy())
-    at = pa.array(np.repeat(np.arange(table.num_rows), n))
-    out = table.select([*keys, "__bin"]).take(at)
-    return out.append_column("__s", starts.flatten()).append_column("__e", ends.flatten())
-
+    at, e = disjoint(_codes(table, keys), table.column("__s").to_numpy(), table.column("__e").to_numpy())
+    picked = table.take(pa.array(at))
+    return picked.set_column(picked.schema.get_field_index("__e"), "__e", pa.array(e, pa.int64()))
 
-def _plain(table: pa.Table) -> pa.Table:
-    """The lists under one field name, whoever made them."""
-    for c in ("__starts", "__ends"):
-        a = table.column(c).combine_chunks()
-        offsets = a.offsets.to_numpy()
-        plain = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), a.flatten())
-        table = table.set_column(table.schema.get_field_index(c), c, plain)
-    return table
 
+def _runs(keys: list[str], buffer_rows: int):
+    """Disjoint rows of a task, and its number."""
 
-def _level0(keys: list[str], width: int, buffer_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         held: list[pa.Table] = []
         rows = 0
+
+        def out(folded: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from folded.append_column("__task", pa.array(np.full(folded.num_rows, task))).to_batches(max_chunksize=50_000)
+
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
             if rows >= buffer_rows:
                 folded = _fold(pa.concat_tables(held), keys)
                 if folded.num_rows > buffer_rows // 2:  # no longer compact: hand it on
-                    yield from _to_lists(folded, keys, width).to_batches(max_chunksize=20_000)
+                    yield from out(folded)
                     held, rows = [], 0
                 else:
                     held, rows = [folded], folded.num_rows
         if rows:
-            yield from _to_lists(_fold(pa.concat_tables(held), keys), keys, width).to_batches(max_chunksize=20_000)
+            yield from out(_fold(pa.concat_tables(held), keys))
+
+    return run
+
+
+def bin_width(n: int, span: int, length: int) -> int:
+    """A power of two: wide enough that ``BIN_ROWS`` of ``n`` rows spread over ``span`` share a bin, and that
+    cutting at bin borders makes at most a quarter more rows, ``length`` being that of all of them together."""
+    least = max(1024, span * BIN_ROWS // max(n, 1), 4 * length // max(n, 1))
+    return min(1 << (least - 1).bit_length(), _WIDEST)
+
+
+def _to_lists(keys: list[str], width: int):
+    """Disjoint rows, cut at bin borders, to sorted lists: one per (keys with the task, bin) and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            s, e = (table.column(c).to_numpy() for c in ("__s", "__e"))
+            b0, b1 = s // width, (e - 1) // width
+            n = b1 - b0 + 1
+            at = np.repeat(np.arange(len(s)), n)
+            b = b0[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            # positions within the bin: the borders of the outermost bins may lie beyond 64 bits
+            ls = np.where(b == b0[at], s[at] % width, 0)
+            le = np.where(b == b1[at], (e[at] - 1) % width + 1, width)
+            group = np.unique(np.stack([_codes(table, keys)[at], b]), axis=1, return_inverse=True)[1].ravel()
+            order = np.argsort(group * width + ls, kind="stable")
+            at, b, ls, le, group = at[order], b[order], ls[order], le[order], group[order]
+            # a file may hold several runs of a task
+            first, le = disjoint(group, ls, le)
+            at, b, ls, group = at[first], b[first], ls[first], group[first]
+            new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            ends = pa.array(np.append(new, len(ls)).astype(np.int32))
+            out = table.select(keys).take(pa.array(at[new])).append_column("__bin", pa.array(b[new], pa.int64()))
+            out = out.append_column("__starts", pa.ListArray.from_arrays(ends, pa.array(ls, pa.int64())))
+            yield from out.append_column("__ends", pa.ListArray.from_arrays(ends, pa.array(le, pa.int64()))).to_batches(max_chunksize=2_000)
 
     return run
 
 
+def reduce_lists(group: np.ndarray, offsets: np.ndarray, s: np.ndarray, e: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted disjoint lists to one list per group, by rounds of linear merges of two lists of a group each.
+
+    Groups are numbered 0, 1, ... in the order of the lists; list i is s[offsets[i]:offsets[i + 1]] with positions in [0, width].
+    """
+    while len(group) and (group[1:] == group[:-1]).any():
+        first = np.searchsorted(group, group)
+        rank = np.arange(len(group)) - first
+        pair = np.cumsum(rank % 2 == 0) - 1
+        row = np.repeat(np.arange(len(group)), np.diff(offsets))
+        shift = pair[row] * (2 * width)
+        odd = (rank % 2 == 1)[row]
+        key_s, key_e = s + shift, e + shift
+        key_s, key_e = merge_sorted((key_s[~odd], key_e[~odd]), (key_s[odd], key_e[odd]))
+        where = key_s // (2 * width)
+        group = group[rank % 2 == 0]
+        offsets = np.searchsorted(where, np.arange(len(group) + 1))
+        s, e = key_s - where * (2 * width), key_e - where * (2 * width)
+    return group, offsets, s, e
+
+
+def _list_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, starts, ends) of the list columns."""
+    starts, ends = (table.column(c).combine_chunks() for c in ("__starts", "__ends"))
+    offsets = starts.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], starts.flatten().to_numpy(), ends.flatten().to_numpy()
+
+
 def _merge_level(keys: list[str], width: int):
-    """Combine list states that arrive sorted by (keys, bin); the last open group is carried on."""
+    """Combine lists that arrive sorted by (keys, bin). The lists of the group that is still open are kept as they are
+    until they hold as much as its merged list, so every interval is merged a logarithmic number of times."""
+
+    by = [*keys, "__bin"]
 
     def merged(table: pa.Table) -> pa.Table:
-        return _to_lists(_fold(_flat(table, keys), [*keys, "__bin"]).drop_columns(["__bin"]), keys, width)
+        code = _codes(table, by)
+        new = np.concatenate([[True], code[1:] != code[:-1]])
+        offsets, s, e = _list_arrays(table)
+        _, offsets, s, e = reduce_lists(np.cumsum(new) - 1, offsets, s, e, width)
+        ends = pa.array(offsets.astype(np.int32))
+        out = table.select(by).take(pa.array(np.flatnonzero(new)))
+        out = out.append_column("__starts", pa.ListArray.from_arrays(ends, pa.array(s)))
+        return out.append_column("__ends", pa.ListArray.from_arrays(ends, pa.array(e)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: pa.Table | None = None
-        columns = [*keys, "__bin", "__starts", "__ends"]
+        open_: list[pa.Table] = []
+        waiting, size = 0, 0
+        columns = [*by, "__starts", "__ends"]
+        plain = pa.schema([])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = _plain(pa.Table.from_batches([batch]).select(columns))
-            if open_ is not None:
-                table = pa.concat_tables([open_, table])
-            code = _codes(table, [*keys, "__bin"])
+            offsets, s, e = _list_arrays(pa.Table.from_batches([batch]))
+            ends = pa.array(offsets.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (s, e)]
+            table = pa.Table.from_arrays([*[batch.column(c) for c in by], *lists], columns)
+            plain = table.schema
+            code = _codes(pa.concat_tables([open_[-1].slice(0, 1), table]) if open_ else table, by)
+            head, code = (code[0], code[1:]) if open_ else (None, code)
             tail = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0
-            if tail:
-                yield from merged(table.slice(0, tail)).to_batches(max_chunksize=20_000)
-            open_ = merged(table.slice(tail))
-        if open_ is not None and open_.num_rows:
-            yield from open_.to_batches(max_chunksize=20_000)
+            if open_ and (tail or code[-1] != head):  # the open group ends in this batch
+                done = merged(pa.concat_tables([*open_, table.slice(0, tail)]))
+                yield from done.to_batches(max_chunksize=2_000)
+                open_, waiting, size = [], 0, 0
+            elif tail:
+                yield from merged(table.slice(0, tail)).to_batches(max_chunksize=2_000)
+            open_.append(table.slice(tail))
+            waiting += int(offsets[-1] - offsets[tail])
+            if waiting > max(size, 1 << 16):
+                open_ = [merged(pa.concat_tables(open_)).cast(plain)]
+                waiting, size = 0, len(open_[0].column("__starts").combine_chunks().flatten())
+        if open_:
+            yield from merged(pa.concat_tables(open_)).to_batches(max_chunksize=2_000)
 
     return run
 
 
-def interval_states(
-    df: DataFrame,
-    keys: Sequence[str],
-    start: str,
-    end: str,
-    bin_width: int = 1 << 20,
-    buffer_rows: int = 1 << 18,
-    tree_levels: int = 1,
-) -> DataFrame:
-    """The merged states: one row (keys, __bin, __starts, __ends) per key and bin."""
+def interval_states(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int | None = None, buffer_rows: int = 1 << 18, fan_in: int = 64) -> tuple[DataFrame, int]:
+    """The merged states, one row (keys, __bin, __starts, __ends) per key and bin with positions inside the bin, and the width of the bins."""
     keys = list(keys)
     names = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(
@@ -163,19 +241,24 @@ def interval_states(
         F.col(end).cast("bigint").alias("__e"),
     ).where("__s < __e")
     key_fields = rows.schema.fields[: len(keys)]
-    state = T.StructType([
-        *key_fields,
-        T.StructField("__bin", T.LongType()),
-        T.StructField("__starts", T.ArrayType(T.LongType(), False)),
-        T.StructField("__ends", T.ArrayType(T.LongType(), False)),
-    ])
-    lists = rows.mapInArrow(_level0(names, bin_width, buffer_rows), state)
-    for _ in range(tree_levels - 1):  # a salted level first: for inputs of very many tasks
-        lists = lists.withColumn("__salt", F.spark_partition_id() % 64)
-        lists = lists.repartition(*names, "__bin", "__salt").sortWithinPartitions(*names, "__bin")
-        lists = lists.mapInArrow(_merge_level(names, bin_width), state)
-    lists = lists.repartition(*names, "__bin").sortWithinPartitions(*names, "__bin")
-    return lists.mapInArrow(_merge_level(names, bin_width), state)
+    long = T.LongType()
+    runs = materialize(rows.mapInArrow(_runs(names, buffer_rows), T.StructType([*rows.schema.fields, T.StructField("__task", long)])), "runs")
+    size = runs.agg(
+        F.count(F.lit(1)).alias("n"), F.min("__s").alias("s"), F.max("__e").alias("e"), F.sum(F.col("__e").cast("decimal(38,0)") - F.col("__s")).alias("length"), F.max("__task").alias("task")
+    ).first()
+    if width is None:
+        width = bin_width(size["n"], (size["e"] or 0) - (size["s"] or 0), int(size["length"] or 0))
+    lists_of = [T.StructField("__bin", long), *[T.StructField(c, T.ArrayType(long, False)) for c in ("__starts", "__ends")]]
+    by = [*names, "__task"]
+    with_task = T.StructType([*key_fields, T.StructField("__task", long), *lists_of])
+    lists = runs.mapInArrow(_to_lists(by, width), with_task)
+    tasks = (size["task"] or 0) + 1
+    while tasks > fan_in:  # the tree: lists of fan_in tasks become one
+        lists = lists.withColumn("__task", F.expr(f"__task div {fan_in}"))
+        lists = lists.repartition(*by, "__bin").sortWithinPartitions(*by, "__bin").mapInArrow(_merge_level(by, width), with_task)
+        tasks = -(-tasks // fan_in)
+    lists = lists.drop("__task").repartition(*names, "__bin").sortWithinPartitions(*names, "__bin")
+    return lists.mapInArrow(_merge_level(names, width), T.StructType([*key_fields, *lists_of])), width
 
 
 def stretches_and_gaps(
@@ -183,19 +266,23 @@ def stretches_and_gaps(
     keys: Sequence[str],
     start: str,
     end: str,
-    bin_width: int = 1 << 20,
+    width: int | None = None,
     buffer_rows: int = 1 << 18,
-    tree_levels: int = 1,
+    fan_in: int = 64,
 ) -> DataFrame:
     """Covered stretches and the gaps between them: (keys, kind, seg_start, seg_end).
 
     Intervals are half-open; those that overlap, nest or touch are one stretch. Rows with a null or
     empty interval (start >= end) cover nothing; repeated rows change nothing; a null key is a key of
-    its own; an empty table gives no rows. Only the named columns are read.
+    its own; an empty table gives no rows. Only the named columns are read. Coordinates are any 64-bit integers, dates or
+    instants as integers included; the width of the bins follows from the data unless one is given.
     """
     keys = list(keys)
     names = [f"__k{i}" for i in range(len(keys))]
-    states = materialize(interval_states(df, keys, start, end, bin_width, buffer_rows, tree_levels), "intervals")
+    states, width = interval_states(df, keys, start, end, width, buffer_rows, fan_in)
+    states = materialize(states, "intervals")
+    low = F.col("__bin") * F.lit(width)
+    states = states.withColumns({c: F.transform(c, lambda p: p + low) for c in ("__starts", "__ends")})
     brief = states.select(
         *names,
         "__bin",
