@@ -443,8 +443,9 @@ class Leaks:
             _places(self.kinds, self.table, self.vocabulary), "doc_id bigint, kind int, sig bigint, at bigint, before bigint, stretch array<bigint>"
         )
         at = at.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts)))
-        mine = self.signed.withColumnRenamed("h", "sig").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        pairs = at.join(mine, ["kind", "sig", "salt"]).select("doc_id", "kind", "pid", "at", "before", "stretch", "words")
+        salted = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        pairs = at.join(salted(self.signed.select("kind", "pid", F.col("h").alias("sig"))), ["kind", "sig", "salt"])
+        pairs = pairs.join(salted(self.windows), ["kind", "pid", "salt"]).select("doc_id", "kind", "pid", "at", "before", "stretch", "words")
         hits = pairs.mapInArrow(_check(self.kinds, self.rate), "doc_id bigint, kind int, pid bigint, edits int, at bigint, n_words bigint")
         hits = hits.groupBy("doc_id", "kind", "pid", "at", "n_words").agg(F.min("edits").alias("edits"))
         return hits.join(self.owners, ["kind", "pid"])
