@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions.keys import read_key, read_key_sql
 from readloom.llm import frequent, leakage, mixture, quantiles, repetition, seen
 from readloom.plans.registry import Registry
-from readloom.session import table
+from readloom.session import materialize, table
 
 R = Registry()
 
@@ -17,9 +17,9 @@ R = Registry()
 SEEN_TABLES = (("mappings", "map_no"), ("qc_hash_list_item", "item_no"))
 
 
-def seen_answers(spark: SparkSession, d: str, name: str, order: str) -> DataFrame:
+def seen_answers(spark: SparkSession, d: str, name: str, order: str, **options) -> DataFrame:
     key = read_key("id_seq")
-    return seen.seen_before(table(spark, d, name), key, order, table(spark, d, "known_reads"), key)
+    return seen.seen_before(table(spark, d, name), key, order, table(spark, d, "known_reads"), key, **options)
 
 
 _SEEN_SQL = f"""
@@ -41,21 +41,54 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@R.add(
-    "p1_error_rates",
-    f"""with {_SEEN_SQL}
-    select rec_table, count(*) as n_answers, cast(sum(case when seen then 1 else 0 end) as bigint) as n_seen,
-      cast(0 as bigint) as wrong_seen, cast(0 as bigint) as wrong_new, cast(0 as double) as wrong_rate from s group by 1""",
-)
-def p1_error_rates(spark: SparkSession, d: str) -> DataFrame:
-    """The measured rate of wrong answers of p1_found, against the exact answer."""
+def seen_rates(spark: SparkSession, d: str, **options) -> DataFrame:
     key, parts = read_key("id_seq"), []
     for name, order in SEEN_TABLES:
-        rates = seen.error_rates(seen_answers(spark, d, name, order), table(spark, d, name), key, order, table(spark, d, "known_reads"), key)
+        rates = seen.error_rates(seen_answers(spark, d, name, order, **options), table(spark, d, name), key, order, table(spark, d, "known_reads"), key)
         parts.append(rates.select(F.lit(name).alias("rec_table"), *rates.columns))
     return parts[0].unionByName(parts[1])
 
 
+_RATES_SQL = f"""with {_SEEN_SQL}
+    select rec_table, count(*) as n_answers, cast(sum(case when seen then 1 else 0 end) as bigint) as n_seen,
+      cast(0 as bigint) as wrong_seen, cast(0 as bigint) as wrong_new, cast(0 as double) as wrong_rate from s group by 1"""
+
+
+@R.add("p1_error_rates", _RATES_SQL)
+def p1_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The measured rate of wrong answers of p1_found, against the exact answer."""
+    return seen_rates(spark, d)
+
+
+@R.add("p1_sealed_rates", _RATES_SQL)
+def p1_sealed_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a current batch of 512 keys, so that nearly every answer comes from sealed sets."""
+    return seen_rates(spark, d, batch_keys=512, max_batch=1 << 14)
+
+
+@R.add("p1_short_fingerprints", f"with {_SEEN_SQL} select rec_table, count(*) as n_answers, true as some_wrong, true as none_missed, true as as_expected from s group by 1")
+def p1_short_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The same with fingerprints of 8 bits: a new key that meets n sealed sets is taken for a seen one with a
+    chance of n / 256, and the measured rate shows it. A task seals 512 keys, then twice as many each time, at most 14 sets."""
+    x = seen_rates(spark, d, batch_keys=512, max_batch=1 << 22, fp_bits=8)
+    n_new = F.col("n_answers") - F.col("n_seen") + F.col("wrong_seen")
+    expected = F.col("wrong_seen").between(F.floor(n_new * 0.5 / 256), n_new * 14 / 256)
+    return x.select("rec_table", "n_answers", (F.col("wrong_seen") > 0).alias("some_wrong"), (F.col("wrong_new") == 0).alias("none_missed"), expected.alias("as_expected"))
+
+
+@R.add("p1_store", f"with {_SEEN_SQL} select rec_no from s where seen and rec_table = 'mappings'")
+def p1_store(spark: SparkSession, d: str) -> DataFrame:
+    """mappings as two deliveries: the first is decided against a written store of the known reads and then sealed
+    into it, the second against the store alone, which holds no key."""
+    x, key = table(spark, d, "mappings"), read_key("id_seq")
+    store = materialize(seen.seal_keys(table(spark, d, "known_reads"), key, buckets=64), "store")
+    half = x.agg(F.floor((F.min("map_no") + F.max("map_no")) / 2)).first()[0]
+    first, second = x.where(F.col("map_no") <= half), x.where(F.col("map_no") > half)
+    whole = materialize(store.unionByName(seen.seal_keys(first, key, buckets=64)), "store")
+    parts = [seen.seen_before(y, key, "map_no", store=s) for y, s in ((first, store), (second, whole))]
+    return parts[0].unionByName(parts[1]).where("seen").select(F.col("map_no").alias("rec_no"))
+
+
 # --- 4: percentiles with a bounded error --------------------------------------------------------
 
 ERROR = 0.01
@@ -146,11 +179,36 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent.most_frequent(table(spark, d, "mappings"), read_key("id_seq"), 20).select(F.col("item").alias("id_seq"))
 
 
-@R.add("p5_counts", f"{_TOP_SQL} select id_seq, n_rows, true as inside from r where rk <= 20")
+@R.add("p5_counts", f"{_TOP_SQL} select id_seq, n_rows, true as inside, true as complete from r where rk <= 20")
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The same keys with their exact numbers of rows, and whether those lie in the guaranteed interval."""
+    """The same keys with their exact numbers of rows, whether those lie in the guaranteed interval, and whether no key is missing."""
     x = frequent.most_frequent(table(spark, d, "mappings"), read_key("id_seq"), 20)
-    return x.select(F.col("item").alias("id_seq"), "n_rows", F.col("n_rows").between(F.col("at_least"), F.col("at_most")).alias("inside"))
+    return x.select(F.col("item").alias("id_seq"), "n_rows", F.col("n_rows").between(F.col("at_least"), F.col("at_most")).alias("inside"), "complete")
+
+
+@R.add(
+    "p5_intervals",
+    f"""{_TOP_SQL} select id_seq, n_rows, true as not_above, true as not_below, true as narrow from r where rk <= 20""",
+)
+def p5_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """One pass without a second count, in buckets of 500 rows so that every task prunes: the guaranteed interval of the
+    20 most frequent keys holds the true count and is at most rows / width wide."""
+    x, width = table(spark, d, "mappings"), 500
+    key = read_key("id_seq")
+    top = frequent.most_frequent(x, key, 20).select("item", "n_rows")
+    y = top.join(frequent.lossy_counts(x, key, width), "item")
+    bound = x.agg((F.count(F.lit(1)) / width).alias("b")).scalar()
+    return y.select(
+        F.col("item").alias("id_seq"), "n_rows", (F.col("at_least") <= F.col("n_rows")).alias("not_above"), (F.col("at_most") >= F.col("n_rows")).alias("not_below"),
+        (F.col("at_most") - F.col("at_least") <= bound).alias("narrow"),
+    )
+
+
+@R.add("p5_at_least")
+def p5_at_least(spark: SparkSession, d: str) -> DataFrame:
+    """The report of one pass: the 20 best keys by guaranteed count, with the interval of each."""
+    x = frequent.most_frequent(table(spark, d, "mappings"), read_key("id_seq"), 20, exact=False)
+    return x.select(F.col("item").alias("id_seq"), "at_least", "at_most", "complete")
 
 
 # --- 6: evaluation texts in training text -------------------------------------------------------

@@ -14,6 +14,7 @@ their key to an arbitrary task. So a hot key costs one candidate per Arrow batch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,23 +63,66 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _decide(batch_keys: int, max_batch: int, buckets: int | None = None):
+class CurrentBatch:
+    """The exact set of keys met since the last sealing, with their first arrival number, hash and fingerprint."""
+
+    def __init__(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.data = np.empty((3, 1024), np.int64)
+
+    def __len__(self) -> int:
+        return len(self.slots)
+
+    def fold(self, keys: pa.Array, order: np.ndarray, h: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        """For each row whether its key came with a smaller number, in these rows or before; new keys are added."""
+        coded = keys.dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = np.full(len(names), _LAST)
+        np.minimum.at(first, code, order)
+        row = np.zeros(len(names), np.int64)
+        row[code[::-1]] = np.arange(len(code))[::-1]
+        slot = np.fromiter(map(self.slots.get, names, repeat(-1)), np.int64, len(names))
+        before = np.where(slot >= 0, self.data[0, slot], _LAST)
+        fresh = np.flatnonzero(slot < 0)
+        n = len(self.slots)
+        if n + len(fresh) > self.data.shape[1]:
+            self.data = np.concatenate([self.data, np.empty((3, max(n, len(fresh))), np.int64)], axis=1)
+        at = row[fresh]
+        self.data[:, n : n + len(fresh)] = first[fresh], h[at], fp[at]
+        self.slots.update(zip(map(names.__getitem__, fresh.tolist()), range(n, n + len(fresh))))
+        return np.minimum(first, before)[code] < order
+
+    def seal(self, before: int | None, fp_type: type) -> SealedSet | None:
+        """The set of the keys first met before this arrival number, which are forgotten; a tie must stay exact."""
+        order, h, fp = self.data[:, : len(self.slots)]
+        done = np.ones(len(order), bool) if before is None else order < before
+        if not done.any():
+            return None
+        names = list(self.slots)
+        out = SealedSet(h[done].view(np.uint64), fp[done].astype(fp_type))
+        left = np.flatnonzero(~done)
+        self.slots = {names[i]: k for k, i in enumerate(left.tolist())}
+        self.data[:, : len(left)] = self.data[:, left]
+        return out
+
+
+def _fp_type(bits: int) -> type:
+    return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
+
+
+def _decide(batch_keys: int, max_batch: int, buckets: int | None = None, fp_bits: int = 32):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored: dict[int, list[SealedSet]] = {}
         sealed: list[SealedSet] = []
-        current: dict[str, tuple[int, int, int]] = {}
+        current = CurrentBatch()
         limit, known_open = batch_keys, False
 
         def seal(before: int | None) -> None:
-            """Keys first met before this arrival number; a tie must stay exact."""
-            nonlocal current, limit
-            done = [(v[1], v[2]) for v in current.values() if before is None or v[0] < before]
-            if not done:
-                return
-            pairs = np.array(done, np.int64).reshape(-1, 2)
-            sealed.append(SealedSet(pairs[:, 0].view(np.uint64), pairs[:, 1].astype(np.uint32)))
-            current = {} if before is None else {k: v for k, v in current.items() if v[0] >= before}
-            limit = min(2 * limit, max_batch)
+            nonlocal limit
+            done = current.seal(before, _fp_type(fp_bits))
+            if done is not None:
+                sealed.append(done)
+                limit = min(2 * limit, max_batch)
 
         for b in batches:
             kind = b.column("kind").to_numpy()
@@ -92,7 +136,7 @@ def _decide(batch_keys: int, max_batch: int, buckets: int | None = None):
                         stored.setdefault(k, []).append(SealedSet.from_bytes(data))
                     continue
                 h, fp = part.column("h").to_numpy(), part.column("fp").to_numpy()
-                hu, fu = h.view(np.uint64), fp.view(np.uint32)
+                hu, fu = h.view(np.uint64), fp.view(np.uint32).astype(_fp_type(fp_bits))
                 seen = np.zeros(part.num_rows, bool)
                 if what == CANDIDATE and known_open:
                     seal(None)
@@ -109,17 +153,9 @@ def _decide(batch_keys: int, max_batch: int, buckets: int | None = None):
                         break
                     seen[left] = s.contains(hu[left], fu[left])
                 left = np.flatnonzero(~seen)
-                keys = part.column("key").take(pa.array(left)).to_pylist()
                 order = part.column("ord").to_numpy()
-                hot = np.zeros(len(left), bool)
-                fi = fu[left].astype(np.int64).tolist()
-                for i, (k, o, a, f) in enumerate(zip(keys, order[left].tolist(), h[left].tolist(), fi)):
-                    v = current.get(k)
-                    if v is None:
-                        current[k] = (o, a, f)
-                    else:
-                        hot[i] = v[0] < o
-                seen[left] = hot
+                if len(left):
+                    seen[left] = current.fold(part.column("key").take(pa.array(left)), order[left], h[left], fu[left].astype(np.int64))
                 if what == KNOWN:
                     known_open = True
                     if len(current) >= limit:
@@ -132,10 +168,10 @@ def _decide(batch_keys: int, max_batch: int, buckets: int | None = None):
     return run
 
 
-def _hashed(df: DataFrame, key: Column, order: Column) -> DataFrame:
+def _hashed(df: DataFrame, key: Column, order: Column, fp_bits: int = 32) -> DataFrame:
     x = df.select(key.cast("string").alias("key"), F.coalesce(order.cast("bigint"), F.lit(_LAST)).alias("ord")).where("key is not null")
     return x.select(
-        "ord", F.xxhash64("key").alias("h"), F.shiftright(F.xxhash64(F.lit(7), "key"), 32).cast("int").alias("fp"), "key"
+        "ord", F.xxhash64("key").alias("h"), F.shiftright(F.xxhash64(F.lit(7), "key"), 64 - fp_bits).cast("int").alias("fp"), "key"
     )
 
 
@@ -181,6 +217,7 @@ def seen_before(
     store: DataFrame | None = None,
     batch_keys: int = 1 << 16,
     max_batch: int = 1 << 20,
+    fp_bits: int = 32,
 ) -> DataFrame:
     """(``order``, seen): for each row with a key, whether the key is known or stands in an earlier row.
 
@@ -189,23 +226,25 @@ def seen_before(
     number counts as the last and comes back as null. Repeated rows are rows of their own. An empty
     table gives no rows. A known key may be repeated. ``store`` holds earlier keys sealed by
     ``seal_keys``; it is joined by bucket and its keys are never needed again. Other columns are not read, whatever their
-    names. Wrong answers are only ever "seen" for a new key: with the 32-bit fingerprint at most
-    (sealed sets of its task) * 2 ** -32 per new key; ``error_rates`` measures them.
+    names. Wrong answers are only ever "seen" for a new key: with fingerprints of ``fp_bits`` bits (1 to 32; a store always has 32) at most
+    (sealed sets of its task) * 2 ** -fp_bits per new key; ``error_rates`` measures them.
     """
     buckets = None
     if store is not None:
         first = store.select("buckets").first()
         buckets = first["buckets"] if first else None
-    rows = _hashed(records, key, F.col(order)).mapInArrow(_first_rows(buckets), _SHUFFLED)
+    if store is not None:
+        fp_bits = 32
+    rows = _hashed(records, key, F.col(order), fp_bits).mapInArrow(_first_rows(buckets), _SHUFFLED)
     if known is not None:
         part = F.col("h") if buckets is None else F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets))
-        k = _hashed(known, known_key, F.lit(-1))
+        k = _hashed(known, known_key, F.lit(-1), fp_bits)
         rows = rows.unionByName(k.select(part.alias("part"), F.lit(KNOWN).cast("tinyint").alias("kind"), "ord", "h", "fp", "key"))
     if buckets is not None:
         kept = store.select(F.col("bucket").cast("bigint").alias("part"), F.lit(SEALED).cast("tinyint").alias("kind"), F.lit(-1).cast("bigint").alias("ord"), "sealed")
         rows = rows.unionByName(kept, allowMissingColumns=True)
     rows = rows.repartition("part").sortWithinPartitions("kind", "ord")
-    out = rows.mapInArrow(_decide(batch_keys, max_batch, buckets), "ord bigint, seen boolean")
+    out = rows.mapInArrow(_decide(batch_keys, max_batch, buckets, fp_bits), "ord bigint, seen boolean")
     return out.select(F.when(F.col("ord") != _LAST, F.col("ord")).alias(order), "seen")
 
 
