@@ -12,9 +12,16 @@ from readloom.schema import MREVERSE, MUNMAP, PAIRED, PROPER, REVERSE, UNMAP
 BIN_SHIFT = 14
 
 
-def _binned(df: DataFrame, start: str, stop: Column, shift: int) -> DataFrame:
-    first = F.shiftright(F.col(start), shift)
-    return df.withColumn("__bin", F.explode(F.sequence(first, F.greatest(first, F.shiftright(stop - 1, shift)))))
+#: Bin sizes of the semi join, as powers over BIN_SHIFT; the last one holds any 32-bit interval.
+LEVELS = (0, 4, 8, 12, 17)
+
+
+def _level(length: Column, shift: int) -> Column:
+    """The least of LEVELS whose bins are not shorter than the interval."""
+    level = F.lit(LEVELS[-1])
+    for lv in reversed(LEVELS[:-1]):
+        level = F.when(length <= (1 << (shift + lv)), lv).otherwise(level)
+    return level
 
 
 def interval_join(
@@ -27,26 +34,43 @@ def interval_join(
     right_end: str = "stop",
     closed: bool = False,
     shift: int = BIN_SHIFT,
+    salts: int = 1,
 ) -> DataFrame:
     """Pairs whose intervals overlap on the same contig.
 
-    Both sides are spread over coordinate bins of 2**shift, joined by (contig, bin) as an ordinary
-    equi-join and checked; a pair that shares several bins is kept in the one where the later start
-    lies, so no distinct is needed. Half-open intervals, or closed ones. The columns of the right side
+    An interval has a level by its length, so that it touches at most two bins of its level. Pairs are joined by
+    (contig, level, bin) at the higher level of the two, as an ordinary equi-join, and checked: a region as long
+    as a contig is two rows, not thousands. The levels the right side has are looked up first (five at most), so
+    a left row is entered once where all regions are short. A pair that shares two bins is kept in the one
+    where the later start lies, so no distinct is needed. ``salts`` > 1 spreads a hot bin of the left side
+    over as many tasks. Half-open intervals, or closed ones. The columns of the right side
     must not clash, but for the contig, which is taken from the left. Nulls overlap nothing.
     """
     more = 1 if closed else 0
-    a = _binned(left.where(F.col(left_start) < F.col(left_end) + more), left_start, F.col(left_end) + more, shift)
-    b = right.where(F.col(right_start) < F.col(right_end) + more).withColumnRenamed(chrom, "__rchrom")
-    b = _binned(b, right_start, F.col(right_end) + more, shift).withColumnRenamed("__bin", "__rbin")
-    x = a.join(b, (F.col(chrom) == F.col("__rchrom")) & (F.col("__bin") == F.col("__rbin")))
-    x = x.where((F.col(left_start) < F.col(right_end) + more) & (F.col(right_start) < F.col(left_end) + more))
-    later = F.greatest(F.col(left_start), F.col(right_start))
-    return x.where(F.shiftright(later, shift) == F.col("__bin")).drop("__bin", "__rbin", "__rchrom")
 
+    def entered(df: DataFrame, start: str, stop: str, own: str, levels: Column) -> DataFrame:
+        x = df.withColumn(own, _level(F.col(stop) + more - F.col(start), shift)).withColumn("__at", F.explode(levels))
+        places = f"sequence(shiftright(cast({start} as bigint), {shift} + __at), shiftright(cast({stop} + {more} - 1 as bigint), {shift} + __at))"
+        return x.withColumn("__bin", F.explode(F.expr(places)))
 
-#: Bin sizes of the semi join, as powers over BIN_SHIFT; the last one holds any 32-bit interval.
-LEVELS = (0, 4, 8, 12, 17)
+    a = left.where(F.col(left_start) < F.col(left_end) + more)
+    b = right.where(F.col(right_start) < F.col(right_end) + more).withColumnRenamed(chrom, "__rchrom")
+    have = sorted(r[0] for r in b.select(_level(F.col(right_end) + more - F.col(right_start), shift).alias("l")).distinct().collect())
+    others = F.filter(F.array(*[F.lit(lv) for lv in have]).cast("array<int>"), lambda lv: lv > F.col("__own"))
+    a = entered(a, left_start, left_end, "__own", F.concat(F.array("__own"), others))
+    every = F.array(*[F.lit(lv) for lv in LEVELS])
+    b = entered(b, right_start, right_end, "__rown", F.filter(every, lambda lv: lv >= F.col("__rown")))
+    on = (F.col(chrom) == F.col("__rchrom")) & (F.col("__at") == F.col("__rat")) & (F.col("__bin") == F.col("__rbin"))
+    b = b.withColumnsRenamed({"__at": "__rat", "__bin": "__rbin"})
+    if salts > 1:
+        a = a.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+        b = b.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        on = on & (F.col("__salt") == F.col("__rsalt"))
+    x = a.join(b, on).where(F.col("__at") == F.greatest("__own", "__rown"))
+    x = x.where((F.col(left_start) < F.col(right_end) + more) & (F.col(right_start) < F.col(left_end) + more))
+    later = F.greatest(F.col(left_start), F.col(right_start)).cast("bigint")
+    x = x.withColumn("__later", later).where(F.expr(f"shiftright(__later, {shift} + __at)") == F.col("__bin"))
+    return x.drop("__bin", "__rbin", "__rchrom", "__at", "__rat", "__own", "__rown", "__salt", "__rsalt", "__later")
 
 
 def overlap_semi(
@@ -60,9 +84,7 @@ def overlap_semi(
     overlap nothing; a row with end <= start is taken as one base.
     """
     length = F.greatest(F.col(end) - F.col(start), F.lit(1))
-    level = F.lit(LEVELS[-1])
-    for lv in reversed(LEVELS[:-1]):
-        level = F.when(length <= (1 << (shift + lv)), lv).otherwise(level)
+    level = _level(length, shift)
     rows = df.withColumn("__l", level).withColumn("__b", F.expr(f"shiftright(cast({start} as bigint), {shift} + __l)"))
     r = regions.where(F.col("start") < F.col("stop")).select(F.col(chrom).alias("__rc"), F.col("start").alias("__rs"), F.col("stop").alias("__re"))
     r = r.withColumn("__rl", F.explode(F.array(*[F.lit(lv) for lv in LEVELS])))
@@ -75,21 +97,33 @@ def overlap_semi(
 
 def pair_matches(df: DataFrame, max_distance: int = 500, name: str = "qname", end_number: str = "paired_end") -> DataFrame:
     """Matches of end 1 with end 2 of a read on the same contig: distance from the end of end 1
-    (pos + len) to the start of end 2, at most ``max_distance``. (name, tid, distance)"""
-    a = df.where(F.col(end_number) == 1).select(name, "tid", (F.col("pos") + F.col("len")).alias("__p1"))
+    (pos + len) to the start of end 2, at most ``max_distance``. (name, tid, distance)
+
+    Joined by (read, contig, bin of the position), end 2 in its bin and the two beside it, so a read with
+    very many mappings is many keys and only near ones meet.
+    """
+    w = max_distance + 1
+    bin_of = lambda c: F.floor(F.col(c) / w)
+    a = df.where(F.col(end_number) == 1).select(name, "tid", (F.col("pos") + F.col("len")).alias("__p1")).withColumn("__b", bin_of("__p1"))
     b = df.where(F.col(end_number) == 2).select(name, "tid", F.col("pos").alias("__p2"))
-    x = a.join(b, [name, "tid"]).withColumn("distance", F.abs(F.col("__p2") - F.col("__p1")))
+    b = b.withColumn("__b", F.explode(F.sequence(bin_of("__p2") - 1, bin_of("__p2") + 1)))
+    x = a.join(b, [name, "tid", "__b"]).withColumn("distance", F.abs(F.col("__p2") - F.col("__p1")))
     return x.where(F.col("distance") <= max_distance).select(name, "tid", "distance")
 
 
+def unnamed(name: str) -> Column:
+    """Whether a record has no name: null, empty or the placeholder."""
+    return F.coalesce(F.col(name).isin("", "*"), F.lit(True))
+
+
 def validate(found: DataFrame, truth: DataFrame, name: str = "qname", hard: bool = False) -> DataFrame:
     """Each found record with its verdict: unmapped, unknown, right or wrong.
 
     soft: contig, start and strand agree; hard: the end as well. The truth has one row a name (the
-    last one given wins, by ``ord``). Unmapped is the bit, not the whole flag.
+    last one given wins, by ``ord``). Unmapped is the bit, not the whole flag. Records without a name are unknown.
     """
     w = Window.partitionBy(name).orderBy(F.desc("ord"))
-    t = truth.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
+    t = truth.where(~unnamed(name)).withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
     t = t.select(F.col(name), F.col("tid").alias("t_tid"), F.col("pos").alias("t_pos"), F.col("end").alias("t_end"), F.col("strand").alias("t_strand"))
     x = found.join(t, name, "left")
     same = (F.col("tid") == F.col("t_tid")) & (F.col("pos") == F.col("t_pos")) & (F.col("strand") == F.col("t_strand"))
@@ -111,8 +145,9 @@ def validation_counts(verdicts: DataFrame) -> DataFrame:
 
 def fix_mates(df: DataFrame, ordinal: str = "ord", name: str = "qname", mode: str = "intended") -> DataFrame:
     """Mate fields of name-sorted records: the 1st and 2nd record of a name, the 3rd and 4th and so on
-    are mates; one left over is a singleton. The insert size runs between the 5' ends."""
-    w = Window.partitionBy(name).orderBy(ordinal)
+    are mates; one left over is a singleton. The insert size runs between the 5' ends. Records without a name
+    have no mates, so they are no group of one task either."""
+    w = Window.partitionBy(name, F.when(unnamed(name), F.xxhash64(ordinal))).orderBy(ordinal)
     x = df.withColumn("__n", F.row_number().over(w))
     five = F.when(has("flag", REVERSE), end_pos("pos", "cigar", mode)).otherwise(F.col("pos"))
     x = x.withColumn("__five", five)

@@ -32,9 +32,15 @@ def natural_key(name: Column | str) -> Column:
     return F.array_join(F.transform(parts, key), "")
 
 
+def name_keyed(df: DataFrame, name: str) -> DataFrame:
+    """The rows with the natural key of their name as column ``__name``, written once: sampling, shuffle and sort
+    of a total order would each compute it again."""
+    return materialize(df.withColumn("__name", natural_key(name)), "name-key")
+
+
 def name_order(name: str, ordinal: str) -> list[Column]:
-    """Natural order of names; equal names by position."""
-    return [natural_key(name).asc(), F.col(name).asc(), F.col("tid").asc(), F.col("pos").asc(), F.col(ordinal).asc()]
+    """Natural order of names in ``name_keyed`` rows; equal names by position."""
+    return [F.col("__name").asc(), F.col(name).asc(), F.col("tid").asc(), F.col("pos").asc(), F.col(ordinal).asc()]
 
 
 def sort_alignments(df: DataFrame, by: str = "position", ordinal: str = "ord", mode: str = "intended") -> DataFrame:
@@ -43,8 +49,9 @@ def sort_alignments(df: DataFrame, by: str = "position", ordinal: str = "ord", m
     ``mode='reference'`` sorts by position whatever was asked for, as the by-id switch of the
     established tool does.
     """
-    keys = name_order("qname", ordinal) if by == "name" and mode == "intended" else position_order(ordinal)
-    return df.orderBy(*keys)
+    if by == "name" and mode == "intended":
+        return name_keyed(df, "qname").orderBy(*name_order("qname", ordinal)).drop("__name")
+    return df.orderBy(*position_order(ordinal))
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -84,11 +91,13 @@ def rmdup_paired(df: DataFrame, quality: str = "sum_qual", library: str = "lib",
     """
     outside = ~has("flag", PAIRED) | has("flag", UNMAP | MUNMAP) | ((F.col("mtid") >= 0) & (F.col("tid") != F.col("mtid"))) | (F.col("tid") < 0)
     x = df.withColumn("__kind", F.when(outside, "out").when(F.col("isize") > 0, "head").otherwise("tail"))
-    w = Window.partitionBy(library, "tid", "pos", "isize").orderBy(F.desc(quality), ordinal)
-    heads = x.where("__kind = 'head'").withColumn("__rn", F.row_number().over(w))
-    gone = heads.where("__rn > 1").select("qname", "tid").distinct()
-    tails = x.where("__kind = 'tail'").join(gone, ["qname", "tid"], "left_anti")
-    return heads.where("__rn = 1").drop("__rn").unionByName(tails).unionByName(x.where("__kind = 'out'")).drop("__kind")
+    # rows that are no head get a group of their own, so the heads' window passes them through
+    own = F.when(F.col("__kind") == "head", F.lit(0)).otherwise(F.xxhash64(ordinal))
+    rank = F.row_number().over(Window.partitionBy(library, "tid", "pos", "isize", "__own").orderBy(F.desc(quality), ordinal))
+    x = x.withColumn("__own", own).withColumn("__gone", (F.col("__kind") == "head") & (rank > 1))
+    named = Window.partitionBy("qname", "tid", F.when(F.col("__kind") == "out", F.xxhash64(ordinal)))
+    lost = F.max("__gone").over(named)
+    return x.withColumn("__lost", lost).where(~F.col("__gone") & ~((F.col("__kind") == "tail") & F.col("__lost"))).drop("__kind", "__own", "__gone", "__lost")
 
 
 def rmdup_single(df: DataFrame, quality: str = "sum_qual", library: str = "lib", ordinal: str = "ord", force_single: bool = False, mode: str = "intended") -> DataFrame:

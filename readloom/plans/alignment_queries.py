@@ -513,7 +513,8 @@ def sort_by_id_reference(spark: SparkSession, d: str) -> DataFrame:
 @R.add("sort_name", f"with {ALN} select ord, cast(row_number() over (order by cast(substr(qname, 2) as bigint), tid, pos, ord) as bigint) as rank from aln")
 def sort_name(spark: SparkSession, d: str) -> DataFrame:
     """O2: natural order of names."""
-    return O.ranked(alignments(spark, d).select("ord", "qname", "tid", "pos"), O.name_order("qname", "ord")).select("ord", "rank")
+    x = O.name_keyed(alignments(spark, d).select("ord", "qname", "tid", "pos"), "qname")
+    return O.ranked(x, O.name_order("qname", "ord")).select("ord", "rank")
 
 
 @R.add("sort_dataset", "select map_no, cast(row_number() over (order by id_seq, map_no) as bigint) as rank from mappings where id_seq is not null")
