@@ -272,3 +272,11 @@ def depth_by_file(df: DataFrame, files: list[str], min_quality: int = 0) -> Data
     b = b.select("tid", "beg", "end", F.lit(1).alias("__any"), *[((F.col("file") == f) & base).cast("int").alias(n) for f, n in zip(files, names)])
     runs = measure_runs(b, "tid", ["__any", *names]).where("__any > 0")
     return runs.select("tid", F.explode(F.sequence((F.col("beg") + 1).cast("int"), F.col("end").cast("int"))).alias("pos"), *names)
+
+
+def depth_of_bases(pile: DataFrame, files: list[int], keys: list[str], min_base_quality: int = 0, min_quality: int = 0) -> DataFrame:
+    """(keys, one depth a file) from a pile with ``file``, ``base_q`` and ``mapq``: bases of enough quality of reads of enough
+    mapping quality; deletions and skips don't count, but every position such a read spans is there."""
+    counts = ~F.col("is_del") & (F.col("base_q") >= min_base_quality)
+    x = pile.where(F.col("mapq") >= min_quality)
+    return x.groupBy(*keys).agg(*[F.sum((counts & (F.col("file") == f)).cast("bigint")).alias(f"depth_{f}") for f in files])

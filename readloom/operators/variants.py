@@ -114,12 +114,17 @@ def near_filter(df: DataFrame, snp_gap: int = 3, indel_gap: int = 10, min_depth:
     ``indel_gap`` go (of equal ones the first stays). The frames are ranges of positions, so the rule does
     not depend on arrival order."""
     x = df.where(F.col("dp").between(min_depth, max_depth)).withColumn("__indel", is_indel("ref", "alt"))
-    near = Window.partitionBy("tid").orderBy("pos").rangeBetween(-snp_gap, snp_gap)
-    wide = Window.partitionBy("tid").orderBy("pos").rangeBetween(-indel_gap, indel_gap)
+    # bins with a margin as wide as the frames reach: a contig is many tasks
+    margin, width = max(snp_gap, indel_gap), 1 << 16
+    own = F.floor(F.col("pos") / width)
+    ends = F.sequence(F.floor((F.col("pos") - margin) / width), F.floor((F.col("pos") + margin) / width))
+    x = x.withColumn("__own", own).withColumn("__bin", F.explode(ends))
+    near = Window.partitionBy("tid", "__bin").orderBy("pos").rangeBetween(-snp_gap, snp_gap)
+    wide = Window.partitionBy("tid", "__bin").orderBy("pos").rangeBetween(-indel_gap, indel_gap)
     rank = F.when(F.col("__indel"), F.struct(F.col("qual"), -F.col("vid")))
     x = x.withColumn("__near", F.max(F.col("__indel").cast("int")).over(near)).withColumn("__best", F.max(rank).over(wide))
     keep = F.when(F.col("__indel"), F.col("__best") == F.struct(F.col("qual"), -F.col("vid"))).otherwise(F.col("__near") == 0)
-    return x.where(keep).drop("__indel", "__near", "__best")
+    return x.where(keep & (F.col("__bin") == F.col("__own"))).drop("__indel", "__near", "__best", "__own", "__bin")
 
 
 # --- estimates over a batch of sites ------------------------------------------------------------
@@ -216,27 +221,58 @@ def hwe_p(pl: np.ndarray) -> np.ndarray:
     return np.array([chi2_p(max(0.0, 2 * (a - b)), 1) for a, b in zip(free, bound)])
 
 
-def allele_count_posterior(pl: np.ndarray, theta: float = 1e-3) -> np.ndarray:
-    """(sites, 2n + 1) posterior of the number of alternative alleles under the neutral prior.
+def allele_count_prior(m: int, kind: str = "full", theta: float = 1e-3) -> np.ndarray:
+    """Prior of 0..m alternative alleles: ``full`` is the neutral one, ``cond2`` that of a site known to vary in
+    another sample of two, ``flat`` equal for all counts."""
+    k = np.arange(m + 1)
+    if kind == "flat":
+        return np.full(m + 1, 1 / (m + 1))
+    if kind == "cond2":
+        p = 2.0 * (m + 1 - k) / ((m + 1) * (m + 2))
+        return p / p.sum()
+    p = np.concatenate([[0.0], theta / np.maximum(k[1:], 1)])
+    p[0] = 1 - p.sum()
+    return p
 
-    The likelihood of each count is built sample by sample; rows are scaled on the way.
+
+def allele_count_posterior(pl: np.ndarray, theta: float = 1e-3, prior: str = "full", ploidy: int = 2) -> np.ndarray:
+    """(sites, ploidy * n + 1) posterior of the number of alternative alleles.
+
+    The likelihood of each count is built sample by sample; rows are scaled on the way. Of a haploid sample only the two
+    homozygous numbers count.
     """
     g = likelihood_matrix(pl)
     sites, n, _ = g.shape
     z = np.ones((sites, 1))
+    kinds = ((0, 1), (1, 2), (2, 1)) if ploidy == 2 else ((0, 1), (2, 1))
     for i in range(n):
-        new = np.zeros((sites, 2 * i + 3))
-        for k, ways in enumerate((1, 2, 1)):
-            new[:, k : k + 2 * i + 1] += ways * g[:, i, k : k + 1] * z
+        size = z.shape[1]
+        new = np.zeros((sites, size + ploidy))
+        for step, (k, ways) in enumerate(kinds):
+            new[:, step : step + size] += ways * g[:, i, k : k + 1] * z
         z = new / np.maximum(new.max(1, keepdims=True), 1e-300)
-    m = 2 * n
+    m = ploidy * n
     z = z / np.array([math.comb(m, k) for k in range(m + 1)], float)
-    prior = np.array([0.0] + [theta / k for k in range(1, m + 1)])
-    prior[0] = 1 - prior.sum()
-    post = z * prior
+    post = z * allele_count_prior(m, prior, theta)
     return post / np.maximum(post.sum(1, keepdims=True), 1e-300)
 
 
+def group_frequencies(pl: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Allele frequencies of the first samples and of the others, and the p values of the likelihood ratios of
+    two frequencies against one (1 degree of freedom) and of two sets of genotype frequencies against one (2)."""
+    parts = [pl[:, : 3 * first], pl[:, 3 * first :]]
+
+    def fit(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum((likelihood_matrix(x) * q[:, None, :]).sum(2), 1e-300)).sum(1)
+
+    hw = lambda f: np.stack([(1 - f) ** 2, 2 * f * (1 - f), f**2], 1)
+    f1, f2 = (em_frequency(x) for x in parts)
+    one = 2 * (fit(parts[0], hw(f1)) + fit(parts[1], hw(f2)) - fit(pl, hw(em_frequency(pl))))
+    two = 2 * (sum(fit(x, em_genotypes(x)) for x in parts) - fit(pl, em_genotypes(pl)))
+    p = lambda v, df: np.array([chi2_p(max(0.0, x), df) for x in v])
+    return f1, f2, p(one, 1), p(two, 2), em_genotypes(pl)
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p value of a 2 x 2 table."""
     n, r, k = a + b + c + d, a + b, a + c
@@ -262,24 +298,7 @@ def t_test(n1: int, s1: float, q1: float, n2: int, s2: float, q2: float) -> floa
     return 0.5 * beta_i(k / 2, 0.5, k / (k + t * t))
 
 
-def haplotype_r2(a: np.ndarray, b: np.ndarray, rounds: int = 50) -> float:
-    """Squared correlation of two sites from their PL rows, by EM over the four haplotypes."""
-    x, y = likelihood_matrix(a[None])[0], likelihood_matrix(b[None])[0]
-    f = np.full((2, 2), 0.25)
-    for _ in range(rounds):
-        # joint[i, j, k, l]: weight of haplotypes (i, j) and (k, l) in each sample
-        i, j, k, l = np.indices((2, 2, 2, 2))
-        joint = f[i, j, None] * f[k, l, None] * x.T[i + k] * y.T[j + l]
-        joint = (joint / np.maximum(joint.sum((0, 1, 2, 3)), 1e-300)).sum(-1)
-        new = joint.sum((2, 3)) + joint.sum((0, 1))
-        f = new / new.sum()
-    p, q = f[1].sum(), f[:, 1].sum()
-    d = f[1, 1] - p * q
-    v = p * (1 - p) * q * (1 - q)
-    return float(d * d / v) if v > 1e-12 else 0.0
-
-
-def site_estimates(df: DataFrame, key: str, pl: str = "pl") -> DataFrame:
+def site_estimates(df: DataFrame, key: str, pl: str = "pl", prior: str = "full", ploidy: int = 2) -> DataFrame:
     """(key, af, hwe_p, p_variant): allele frequency, Hardy-Weinberg p value and the posterior that the
     site varies. All rows of a batch have the same number of samples."""
 
@@ -288,22 +307,21 @@ def site_estimates(df: DataFrame, key: str, pl: str = "pl") -> DataFrame:
             if not len(f):
                 continue
             x = np.stack(f[pl].to_numpy())
-            yield pd.DataFrame({key: f[key], "af": em_frequency(x), "hwe_p": hwe_p(x), "p_variant": 1 - allele_count_posterior(x)[:, 0]})
+            yield pd.DataFrame({key: f[key], "af": em_frequency(x), "hwe_p": hwe_p(x), "p_variant": 1 - allele_count_posterior(x, prior=prior, ploidy=ploidy)[:, 0]})
 
     return df.select(key, pl).mapInPandas(run, f"{key} bigint, af double, hwe_p double, p_variant double")
 
 
-def adjacent_ld(df: DataFrame, key: str, group: str, order: str, pl: str = "pl") -> DataFrame:
-    """(key, previous, r2) of each site and the one before it in its group."""
-    w = Window.partitionBy(group).orderBy(order)
-    x = df.select(key, F.lag(key).over(w).alias("previous"), pl, F.lag(pl).over(w).alias("__before")).where("previous is not null")
+def group_estimates(df: DataFrame, key: str, first: int, pl: str = "pl") -> DataFrame:
+    """(key, af_first, af_others, p_1df, p_2df, g_ref, g_het, g_alt): see ``group_frequencies``."""
 
     def run(frames):
         for f in frames:
-            r = [haplotype_r2(np.asarray(a), np.asarray(b)) for a, b in zip(f["__before"], f[pl])]
-            yield pd.DataFrame({key: f[key], "previous": f["previous"], "r2": r})
+            if len(f):
+                a, b, p1, p2, g = group_frequencies(np.stack(f[pl].to_numpy()), first)
+                yield pd.DataFrame({key: f[key], "af_first": a, "af_others": b, "p_1df": p1, "p_2df": p2, "g_ref": g[:, 0], "g_het": g[:, 1], "g_alt": g[:, 2]})
 
-    return x.mapInPandas(run, f"{key} bigint, previous bigint, r2 double")
+    return df.select(key, pl).mapInPandas(run, f"{key} bigint, af_first double, af_others double, p_1df double, p_2df double, g_ref double, g_het double, g_alt double")
 
 
 def base_likelihoods(pile: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions.cigar import query_len
 from readloom.functions.flags import has
 from readloom.operators import aggregates as A
+from readloom.operators import calling as K
 from readloom.operators import filters as X
 from readloom.operators import variants as V
 from readloom.plans.alignment_queries import _BLOCKS, ops_sql
@@ -147,9 +148,9 @@ def site_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("adjacent_ld")
 def adjacent_ld(spark: SparkSession, d: str) -> DataFrame:
-    """Squared correlation of neighbouring sites of a label."""
+    """Squared correlation of neighbouring sites of a label."""
     x = likelihoods(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
-    return V.adjacent_ld(x, "vec_id", "label", "vec_id").withColumn("r2", F.round("r2", 6))
+    return K.adjacent_ld(x, "vec_id", "label", "vec_id").withColumn("r2", F.round("r2", 6))
 
 
 # --- pileup with bases --------------------------------------------------------------------------
@@ -169,7 +170,7 @@ PILE = f"""{_BLOCKS.replace("else 0 end)), 0) as int) as beg from u)", "else 0 e
 
 def base_pile(spark: SparkSession, d: str) -> DataFrame:
     reads = X.pileup_reads(alignments(spark, d).where("tid >= 0")).withColumn("qlen", query_len("cigar"))
-    x = A.pileup(reads, ["ord", "mapq", "flag", "qlen"])
+    x = A.pileup(reads, ["ord", "mapq", "flag", "qlen", "file", "cigar"])
     x = x.withColumns({"base": F.expr(_BASE), "ref_base": F.expr(_REF), "base_q": F.expr(_BASEQ), "reverse": has("flag", 16)})
     return x.withColumn("is_ref", F.col("base") == F.col("ref_base")).withColumn("tail", F.least(F.col("qpos"), F.col("qlen") - 1 - F.col("qpos"), F.lit(25)))
 
@@ -204,10 +205,16 @@ def base_likelihoods(spark: SparkSession, d: str) -> DataFrame:
     return V.base_likelihoods(base_pile(spark, d).where("not is_del and base_q > 0"), ["tid", "bin", "pos"]).drop("bin")
 
 
+#: inserted bases follow from their offset on the read, deleted ones from the reference
+_INSERTED = "substr('ACGT', cast(1 + ({0} * mapq) % 4 as int), 1)"
+_DELETED = "substr('ACGT', cast(1 + ({0}) % 4 as int), 1)"
+_case = lambda t: f"case when flag & 16 <> 0 then lower({t}) else {t} end"
+_INS_SQL = _case(" || ".join(_INSERTED.format(f"(qpos + {i})") for i in (1, 2)))
+_DEL_SQL = _case(" || ".join(_DELETED.format(f"pos + {i}") for i in range(1, 6)))
 _TOKEN = f"""case when pos = start then '^' || chr(cast(least(mapq, 93) + 33 as int)) else '' end
   || case when op = 'N' then case when flag & 16 <> 0 then '<' else '>' end when op = 'D' then '*'
     when {_BASE} = {_REF} then case when flag & 16 <> 0 then ',' else '.' end when flag & 16 <> 0 then lower({_BASE}) else {_BASE} end
-  || case when cigar = '20M2I28M' and at_end and pos = start + 19 then '+2' when cigar = '30M5D20M' and at_end and pos = start + 29 then '-5' else '' end
+  || case when cigar = '20M2I28M' and at_end and pos = start + 19 then '+2' || {_INS_SQL} when cigar = '30M5D20M' and at_end and pos = start + 29 then '-5' || {_DEL_SQL} else '' end
   || case when pos = stop then '$' else '' end"""
 
 
@@ -216,14 +223,18 @@ _TOKEN = f"""case when pos = start then '^' || chr(cast(least(mapq, 93) + 33 as
     f"with {PILE} select tid, cast(pos + 1 as int) as pos, any_value({_REF}) as ref_base, count(*) as depth, md5(string_agg({_TOKEN}, '' order by ord, op)) as bases, md5(string_agg(chr(cast({_BASEQ} + 33 as int)), '' order by ord, op)) as quals from pile group by all".replace("group by all", "group by tid, pos"),
 )
 def mpileup_text(spark: SparkSession, d: str) -> DataFrame:
-    """Bases and qualities of every position as text, by digest; lengths of indels, not their bases."""
+    """Bases and qualities of every position as text, with the bases of indels, by digest."""
     back = F.col("reverse")
     symbol = (
         F.when(F.col("is_refskip"), F.when(back, "<").otherwise(">")).when(F.col("is_del"), "*").when(F.col("is_ref"), F.when(back, ",").otherwise("."))
         .when(back, F.lower("base")).otherwise(F.col("base"))
     )
     head = F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise("")
-    indel = F.when(F.col("indel") > 0, F.concat(F.lit("+"), F.col("indel").cast("string"))).when(F.col("indel") < 0, F.col("indel").cast("string")).otherwise("")
+    steps = F.sequence(F.lit(1), F.greatest(F.abs("indel"), F.lit(1)))
+    base_at = lambda at: F.substring(F.lit("ACGT"), (1 + at % 4).cast("int"), F.lit(1))
+    bases = F.array_join(F.transform(steps, lambda i: F.when(F.col("indel") > 0, base_at((F.col("qpos") + i) * F.col("mapq"))).otherwise(base_at(F.col("pos") + i))), "")
+    text_of = F.concat(F.when(F.col("indel") > 0, "+").otherwise("-"), F.abs("indel").cast("string"), F.when(back, F.lower(bases)).otherwise(bases))
+    indel = F.when(F.col("indel") != 0, text_of).otherwise("")
     token = F.concat(head, symbol, indel, F.when(F.col("is_tail"), "$").otherwise(""))
     x = base_pile(spark, d).select("tid", "bin", "pos", "ref_base", F.struct("ord", token.alias("t"), F.char(F.col("base_q") + 33).alias("q")).alias("e"))
     x = x.groupBy("tid", "bin", "pos").agg(F.first("ref_base").alias("ref_base"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list("e")).alias("l"))

@@ -12,6 +12,7 @@ from readloom.functions.flags import letters
 from readloom.operators import joins as J
 from readloom.operators import order as O
 from readloom.operators import realign as Z
+from readloom.operators import calling as K
 from readloom.operators import variants as V
 
 M = 0xFFFFFFFF
@@ -67,9 +68,9 @@ def test_allele_count_posterior():
 def test_linkage():
     sure = lambda genotypes: np.array([[0 if g == k else 200 for k in range(3)] for g in genotypes]).ravel()
     a = [0, 0, 2, 2, 1, 0, 2, 1] * 4
-    assert V.haplotype_r2(sure(a), sure(a)) == pytest.approx(1, abs=1e-6)
+    assert K.haplotype_r2_rows(sure(a)[None], sure(a)[None])[0] == pytest.approx(1, abs=1e-6)
     b = [0, 2, 0, 2] * 8
-    assert V.haplotype_r2(sure([0, 0, 2, 2] * 8), sure(b)) == pytest.approx(0, abs=1e-6)
+    assert K.haplotype_r2_rows(sure([0, 0, 2, 2] * 8)[None], sure(b)[None])[0] == pytest.approx(0, abs=1e-6)
 
 
 def test_alignment_scores():
