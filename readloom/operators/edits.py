@@ -290,3 +290,19 @@ def capped_quality(df: DataFrame, threshold: int = 40, mode: str = "intended") -
         return [pa.array(np.where(t > threshold, -1, cap).astype(np.int32), mask=~np.array(b.column("usable").to_pylist()))]
 
     return _added(df, work, "cap int", make)
+
+
+def aligned(df: DataFrame, a: str, b: str, band: int = 50) -> DataFrame:
+    """The rows with ``score`` and ``cigar`` of the best global alignment of two texts, within ``band`` of the diagonal (wider where
+    their lengths differ by more); null where one is null."""
+    from readloom.operators.realign import global_align
+
+    own = df.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = [global_align(p, q, band=band) if p is not None and q is not None else (None, None) for p, q in zip(x.column(a).to_pylist(), x.column(b).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], [*own, "score", "cigar"])
+
+    return df.mapInArrow(run, f"{schema}, score int, cigar string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,26 +40,14 @@ def nm_md(pos: int, cigar: str, seq: str, ref: str) -> tuple[int, str]:
     return nm, "".join(out) + str(run)
 
 
-def calmd(df: DataFrame, ref: str = "ref_seq") -> DataFrame:
-    """nm and md of reads (pos, cigar, seq) against the reference slice in column ``ref``, which begins at
-    ``ref_beg``; null where there is no CIGAR or sequence."""
-
-    @F.pandas_udf("nm int, md string")
-    def both(pos: pd.Series, cigar: pd.Series, seq: pd.Series, r: pd.Series, beg: pd.Series) -> pd.DataFrame:
-        ok = lambda c, s, x: isinstance(c, str) and isinstance(s, str) and isinstance(x, str) and c != "*" and s != "*"
-        rows = [nm_md(p - b, c, s, x) if ok(c, s, x) else (None, None) for p, c, s, x, b in zip(pos, cigar, seq, r, beg)]
-        return pd.DataFrame(rows, columns=["nm", "md"]).astype({"nm": "Int32"})
-
-    x = df.withColumn("__b", both("pos", "cigar", "seq", ref, "ref_beg"))
-    return x.withColumns({"nm": F.col("__b.nm"), "md": F.col("__b.md")}).drop("__b")
-
-
-def global_align(a: str, b: str, match: int = 1, mismatch: int = -3, gap_open: int = -5, gap_extend: int = -2) -> tuple[int, str]:
+def global_align(a: str, b: str, match: int = 1, mismatch: int = -3, gap_open: int = -5, gap_extend: int = -2, band: int | None = None) -> tuple[int, str]:
     """Score and CIGAR of the best global alignment of two sequences, with affine gaps.
 
-    Row by row with numpy; gaps along the row by a running maximum, so only rows are looped over.
+    Row by row with numpy; gaps along the row by a running maximum, so only rows are looped over. With ``band``
+    cells farther from the diagonal are left out; it is never narrower than the lengths differ.
     """
     n, m = len(a), len(b)
+    reach = max(n, m) if band is None else max(band, abs(n - m))
     x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
     low = -(10**9)
     steps = np.arange(m + 1)
@@ -77,6 +66,9 @@ def global_align(a: str, b: str, match: int = 1, mismatch: int = -3, gap_open: i
         f = np.full(m + 1, low)
         f[1:] = start[:-1] + gap_open + gap_extend * steps[1:]
         new = np.maximum(best, f)
+        if reach < max(n, m):
+            new[np.abs(steps - i) > reach] = low
+            e[np.abs(steps - i) > reach] = low
         trace_h.append(np.where(new == diag, 0, np.where(new == e, 1, 2)))
         trace_e.append(e == e_more)
         trace_f.append((new, f))
@@ -161,7 +153,7 @@ def simulate_reads(refs: DataFrame, per_base: float = 0.05, length: int = 70, in
             for name, seq in zip(f["name"], f["seq"]):
                 if not isinstance(seq, str) or len(seq) < insert:
                     continue
-                rng = np.random.default_rng([seed, abs(hash(str(name))) % 2**31 if not str(name).isdigit() else int(name)])
+                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
                 for k in range(int(len(seq) * per_base)):
                     a = int(rng.integers(0, len(seq) - insert + 1))
                     b = a + insert - length

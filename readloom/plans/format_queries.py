@@ -203,30 +203,6 @@ def evaluation_by_quality(spark: SparkSession, d: str) -> DataFrame:
     return q.select("decile", F.sum("n").over(w).alias("n_reads"), F.sum("w").over(w).alias("n_wrong"))
 
 
-@R.add(
-    "sequence_consensus",
-    f"""with {SEQ} select doc_id, md5(case when length(seq) >= 20 then substr(seq, 1, 4) || 'R' || substr(seq, 6, 6) || 'K' || substr(seq, 13, 7) || 'A' || substr(seq, 21) else
-      case when length(seq) >= 12 then substr(seq, 1, 4) || 'R' || substr(seq, 6, 6) || 'K' || substr(seq, 13) when length(seq) >= 5 then substr(seq, 1, 4) || 'R' || substr(seq, 6) else seq end end) as digest from s""",
-)
-def sequence_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Called bases written into their reference."""
-    from readloom.functions.seq import mutate
-
-    calls = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(b).alias("base")) for p, b in ((5, "R"), (12, "K"), (20, "A"))])
-    return sequences(spark, d).select("doc_id", F.md5(F.aggregate(calls, F.col("seq"), lambda s, c: mutate(s, c["pos"], c["base"]))).alias("digest"))
-
-
-@R.add(
-    "cut_at_gaps",
-    f"""with {SEQ}, u as (select doc_id, unnest(list_filter(regexp_split_to_array(seq, 'N{{2,}}'), lambda x: x <> '')) as part from s) select doc_id, count(*) as n_parts, cast(sum(length(part)) as bigint) as n_bases, cast(max(length(part)) as int) as longest from u group by 1""",
-)
-def cut_at_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences cut at runs of ambiguous bases, here of two and more."""
-    parts = F.filter(F.split("seq", "N{2,}"), lambda p: p != "")
-    x = sequences(spark, d).select("doc_id", F.explode(parts).alias("part"))
-    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.length("part")).alias("n_bases"), F.max(F.length("part")).alias("longest"))
-
-
 @R.add(
     "variant_annotation",
     f"""with {VAR} select vid, length(ref) > 1 or (alt <> 'X' and length(alt) > 1) as indel, ref || alt in ('AG', 'GA', 'CT', 'TC') as transition, case when alt = 'X' then '' else alt end as alt_kept,

@@ -67,16 +67,6 @@ def simulated_reads(spark: SparkSession, d: str) -> DataFrame:
     return Z.simulate_reads(sequences(spark, d).select(F.col("doc_id").cast("string").alias("name"), "seq"))
 
 
-@R.add("recomputed_tags")
-def recomputed_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance and mismatch string of simulated reads against their sequences."""
-    reads = simulated_reads(spark, d)
-    ref = sequences(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.col("seq").alias("whole"))
-    x = reads.join(ref, "name").select("qname", F.col("pos1").alias("pos"), F.concat(F.length("seq1").cast("string"), F.lit("M")).alias("cigar"), F.col("seq1").alias("seq"), "whole")
-    x = x.withColumn("ref_seq", F.substring(F.col("whole"), F.col("pos") + 1, F.length("seq"))).withColumn("ref_beg", F.col("pos")).drop("whole")
-    return Z.calmd(x).select("qname", "pos", "nm", "md")
-
-
 @R.add(
     "coverage_lines",
     f"""with {_BLOCKS}, cov as (select tid, unnest(range(beg, beg + n)) as p from blk where op in ('M', '=', 'X')), dep as (select tid, p, count(*) as depth from cov group by all)
