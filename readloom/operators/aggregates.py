@@ -183,6 +183,12 @@ def flagstat(df: DataFrame) -> DataFrame:
     return kinds.join(x, "qc_failed", "left").na.fill(0, list(each))
 
 
+def flagstat_shares(counts: DataFrame) -> DataFrame:
+    """The percentages of ``flagstat``: mapped of all, properly paired and singletons of the paired; null where there is nothing to divide by."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(100.0 * F.col(a) / F.col(b), 2))
+    return counts.select("qc_failed", share("n_mapped", "n_reads").alias("mapped_pct"), share("n_pair_good", "n_pair_all").alias("proper_pct"), share("n_sgltn", "n_pair_all").alias("singleton_pct"))
+
+
 def idxstats(df: DataFrame, contigs: DataFrame) -> DataFrame:
     """Per contig its name and length with mapped and unmapped reads placed on it; ``*`` holds those
     without a contig."""

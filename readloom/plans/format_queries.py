@@ -145,17 +145,6 @@ def bed_of_reads(spark: SparkSession, d: str) -> DataFrame:
     return text.to_bed(records(spark, d)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("tag_functions", f"with {ALN} select ord, cast(sum_qual as varchar) as nm, rg, rg is not null as has_rg, cast(1 + case when rg is not null then 1 else 0 end as int) as n_tags, sum_qual + 1 as nm_next from aln")
-def tag_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Tags got, typed, dropped and appended."""
-    base = F.create_map(F.lit("NM"), F.col("sum_qual").cast("string"), F.lit("RG"), F.col("rg"))
-    x = alignments(spark, d).withColumn("aux", F.map_filter(base, lambda k, v: v.isNotNull()))
-    x = x.withColumn("more", F.map_concat(F.map_filter("aux", lambda k, v: k != "NM"), F.create_map(F.lit("NM"), (F.col("aux")["NM"].cast("int") + 1).cast("string"))))
-    return x.select(
-        "ord", F.col("aux")["NM"].alias("nm"), F.try_element_at("aux", F.lit("RG")).alias("rg"), F.map_contains_key("aux", "RG").alias("has_rg"), F.size("aux").alias("n_tags"), F.col("more")["NM"].cast("int").alias("nm_next")
-    )
-
-
 @R.add("reheader", f"with {ALN} select 'n' || cast(c.tid as varchar) as rname, count(*) as n from aln join contigs c using (tid) group by 1")
 def reheader(spark: SparkSession, d: str) -> DataFrame:
     """Another header over the same records."""

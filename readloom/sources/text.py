@@ -32,6 +32,50 @@ def _flag(text: Column) -> Column:
     )
 
 
+def flag_of(value: Column) -> Column:
+    """The flag of a text in decimal, hexadecimal, octal or letters."""
+    by_letter = F.lit(0)
+    for i, c in enumerate(FLAG_LETTERS):
+        by_letter = by_letter + F.when(F.instr(value, c) > 0, 1 << i).otherwise(0)
+    digits = lambda pattern, base: F.when(value.rlike(pattern), F.conv(F.regexp_replace(value, "^0[xX]", ""), base, 10).cast("int"))
+    return F.coalesce(digits("^0[xX][0-9A-Fa-f]+$", 16), digits("^0[0-7]+$", 8), digits("^[0-9]+$", 10), by_letter)
+
+
+def flag_text(flag: Column | str, style: str = "decimal") -> Column:
+    """A flag in decimal, ``hex`` or ``letters``."""
+    f = F.col(flag) if isinstance(flag, str) else flag
+    if style == "hex":
+        return F.concat(F.lit("0x"), F.lower(F.hex(f)))
+    if style == "letters":
+        return F.concat(*[F.when(f.bitwiseAND(F.lit(1 << i)) != 0, c).otherwise("") for i, c in enumerate(FLAG_LETTERS)])
+    return f.cast("string")
+
+
+def read_contig_list(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """(name, len) of the lines of a sequence index or of any list of names and lengths."""
+    f = F.split("value", r"\s+")
+    x = lines(spark, source).where(F.trim("value") != "")
+    return x.select(F.get(f, 0).alias("name"), F.expr("try_cast(get(split(value, '\\\\s+'), 1) as int)").alias("len")).where("len is not null")
+
+
+#: fixed values: the tags a header line needs, and those it may have besides
+HEADER_TAGS = {
+    "HD": ("VN", "SO GO"), "SQ": ("SN LN", "AS M5 UR SP"), "RG": ("ID", "CN DS DT FO KS LB PG PI PL PU SM"), "PG": ("ID", "PN VN CL PP"),
+}
+
+
+def validate_header(header: DataFrame) -> DataFrame:
+    """The header lines with the tags they lack (``missing``) and those their kind doesn't know (``unknown``), by commas; free text is always right."""
+    names = F.coalesce(F.map_keys("tags"), F.array().cast("array<string>"))
+    missing, unknown = F.lit(""), F.lit("")
+    for kind, (need, may) in HEADER_TAGS.items():
+        need, may = need.split(), may.split()
+        lack = F.array_join(F.array_except(F.array(*map(F.lit, need)), names), ",")
+        odd = F.array_join(F.array_sort(F.filter(names, lambda n: ~n.isin(*need, *may) & ~n.rlike("[a-z]"))), ",")  # noqa: B023
+        missing, unknown = F.when(F.col("kind") == kind, lack).otherwise(missing), F.when(F.col("kind") == kind, odd).otherwise(unknown)
+    return header.select("kind", "line", missing.alias("missing"), unknown.alias("unknown"))
+
+
 def read_sam(spark: SparkSession, source: str | DataFrame, mode: str = "permissive") -> DataFrame:
     """Alignment records: 0-based pos and pnext, ``=`` resolved, aux tags as a map of (type, value).
 
