@@ -16,8 +16,8 @@ from readloom.plans.derive import REGION_SQL, alignments, regions, sequences
 from readloom.plans.registry import Registry
 from readloom.plans.sequence_queries import SEQ
 from readloom.plans.variant_queries import VAR, variants
-from readloom.session import shared_dir, table
-from readloom.sources import bam, text
+from readloom.session import remember, shared_dir, table
+from readloom.sources import bam, bcf, fastq, text
 
 R = Registry()
 
@@ -66,18 +66,65 @@ def sam_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(*x.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("bam_round_trip", f"with {ALN} select qname, flag, tid, pos, mapq, cigar, mtid, mpos, isize, count(*) as n from aln group by all")
-def bam_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Records written to binary files and read again in small ranges."""
+def _folder(spark: SparkSession, kind: str) -> str:
+    return remember(spark, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+
+
+def _contigs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(f"kx{r['tid'] + 1}", r["len"]) for r in table(spark, d, "contigs").orderBy("tid").collect()]
+
+
+def _written(spark: SparkSession, d: str) -> tuple[str, list[str]]:
+    """The records as text, parsed, in binary files; the folder and the names of the contigs."""
     bam.register(spark)
-    place = f"{shared_dir(spark)}/bam-{uuid.uuid4().hex}".removeprefix("file:").replace("///", "/").replace("//", "/")
-    x = alignments(spark, d).select(
-        "qname", "flag", "tid", "pos", "mapq", "cigar", "mtid", "mpos", "isize", F.lit("*").alias("seq"), F.lit("*").alias("qual"), F.create_map(F.lit("NM"), F.concat(F.lit("i:"), "sum_qual")).alias("aux")
-    )
-    names = ",".join(f"{r['name']}:{r['len']}" for r in table(spark, d, "contigs").orderBy("tid").collect())
-    x.write.format("bam").option("contigs", names).mode("append").save(place)
-    y = spark.read.format("bam").option("splitbytes", str(1 << 20)).load(place).drop("seq", "qual", "aux")
-    return y.groupBy(*y.columns).agg(F.count(F.lit(1)).alias("n"))
+    contigs, place = _contigs(spark, d), _folder(spark, "bam")
+    x = bam.of_records(text.read_sam(spark, text.format_sam(records(spark, d))), [n for n, _ in contigs])
+    x.write.format("bam").option("contigs", ",".join(f"{n}:{k}" for n, k in contigs)).mode("append").save(place)
+    return place, [n for n, _ in contigs]
+
+
+@R.add("bam_round_trip", f"with {REC} select md5({_SAM_LINE}) as digest, count(*) as n from rec group by 1")
+def bam_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Text to binary and back to text, with bases, qualities and tags, the binary files read in small ranges."""
+    place, names = _written(spark, d)
+    y = bam.to_records(spark.read.format("bam").option("splitbytes", str(1 << 20)).load(place), names)
+    return text.format_sam(y).groupBy(F.md5("value").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("reheader", f"with {ALN} select case when tid < 0 then '*' else 'new' || tid end as rname, count(*) as n from aln group by 1")
+def reheader(spark: SparkSession, d: str) -> DataFrame:
+    """The binary files with another header, blocks copied as they are."""
+    place, names = _written(spark, d)
+    fresh, target = [f"new{i}" for i in range(len(names))], _folder(spark, "bam")
+    paths = [r["path"] for r in bam.reheader(spark, place, target, "@CO\tnew\n", [(n, 1000) for n in fresh]).collect()]
+    known = [n for n, _ in bam.read_bam_header(paths[0])[1]]
+    return bam.to_records(spark.read.format("bam").load(target), known).groupBy("rname").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("bcf_round_trip", f"with {VAR} select vid, tid, pos, ref, case when alt = 'X' then '' else alt end as alt, cast(qual as double) as qual, 'DP=' || dp as info, cast(case when alt = 'X' then 7 else 28 + dp % 3 end as int) as pl_sum, cast(dp + 1 as int) as dp_last from var")
+def bcf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Variants with likelihoods and depths of two samples written to binary files and read again."""
+    bcf.register(spark)
+    place = _folder(spark, "bcf")
+    alt = F.when(F.col("alt") == "X", "").otherwise(F.col("alt"))
+    pl = F.when(alt == "", F.array(F.lit(3), F.lit(4))).otherwise(F.array(F.lit(0), F.lit(9), F.lit(10), F.lit(9), F.lit(0), F.col("dp") % 3))
+    x = variants(spark, d).select(
+        "tid", "pos", F.col("vid").cast("string").alias("id"), "ref", alt.alias("alt"), F.col("qual").cast("float").alias("qual"), F.lit("PASS").alias("filter"), F.concat(F.lit("DP="), F.col("dp").cast("string")).alias("info"),
+        F.lit("PL:DP").alias("format"), pl.cast("array<int>").alias("pl"), *[F.lit(None).cast("array<int>").alias(c) for c in ("gt", "gq")], F.array("dp", F.col("dp") + 1).alias("dp"), F.lit(None).cast("array<int>").alias("sp"),
+    )
+    x.write.format("bcf").option("contigs", ",".join(f"c{i}" for i in range(25))).option("samples", "s1,s2").mode("append").save(place)
+    y = spark.read.format("bcf").load(place)
+    return y.select(F.col("id").cast("bigint").alias("vid"), "tid", "pos", "ref", "alt", F.col("qual").cast("double").alias("qual"), "info", F.aggregate("pl", F.lit(0), lambda a, v: a + v).alias("pl_sum"), F.get("dp", 1).alias("dp_last"))
+
+
+@R.add("fastq_files", f"with {REC} select qname || '#' || ord as name, md5(seq || ' ' || qual) as digest from rec")
+def fastq_files(spark: SparkSession, d: str) -> DataFrame:
+    """Reads in four-line files, read again in ranges far smaller than the files."""
+    place = _folder(spark, "fastq")
+    x = records(spark, d).select(F.concat(F.lit("@"), "qname", F.lit("#"), F.col("ord").cast("string"), F.lit(" more\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+    x.repartition(3).write.text(place)
+    y = fastq.read_fastq(spark, place, split=1 << 18)
+    return y.select("name", F.md5(F.concat("seq", F.lit(" "), "qual")).alias("digest"))
 
 
 @R.add("sam_header", "select name, cast(len as int) as len from contigs")
@@ -145,13 +192,6 @@ def bed_of_reads(spark: SparkSession, d: str) -> DataFrame:
     return text.to_bed(records(spark, d)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("reheader", f"with {ALN} select 'n' || cast(c.tid as varchar) as rname, count(*) as n from aln join contigs c using (tid) group by 1")
-def reheader(spark: SparkSession, d: str) -> DataFrame:
-    """Another header over the same records."""
-    fresh = table(spark, d, "contigs").select("tid", F.concat(F.lit("n"), F.col("tid").cast("string")).alias("rname"))
-    return alignments(spark, d).groupBy("tid").agg(F.count(F.lit(1)).alias("n")).join(fresh, "tid").select("rname", "n")
-
-
 @R.add(
     "interpolated_depth",
     f"""with {ALN}, s as (select qname, tid, min(pos) as b, max({END}) as e from aln where tid >= 0 and flag & 4 = 0 group by all having max({END}) - min(pos) <= 2000),

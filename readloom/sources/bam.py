@@ -8,15 +8,18 @@ record begins in the next range. So a file is read by as many tasks as asked for
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from readloom.sources.files import files_of, open_at, publish, ranges_of, remove, size_of
+
 # fixed values of the format: base codes, operation codes, end-of-file member
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
@@ -209,16 +212,15 @@ class _Range(InputPartition):
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.split = int(options.get("splitbytes", 32 << 20))
 
     def partitions(self) -> list[_Range]:
-        files = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(self.path, p) for p in os.listdir(self.path) if p.endswith(".bam"))
-        return [_Range(f, a, min(a + self.split, os.path.getsize(f))) for f in files for a in range(0, os.path.getsize(f), self.split)]
+        return [_Range(*r) for r in ranges_of(self.path, self.split, ".bam")]
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        size = os.path.getsize(part.path)
-        with open(part.path, "rb") as f:
+        size = size_of(part.path)
+        with open_at(part.path) as f:
             _, contigs, skip = read_header(f, size)
             begin = 0 if part.start == 0 else first_member(f, part.start, size)
             data, at, seen, synced = b"", 0, [], part.start == 0
@@ -278,18 +280,16 @@ class BamWriter(DataSourceWriter):
     """One file a task, each a whole BAM with the header given by the options ``header`` and ``contigs``."""
 
     def __init__(self, options: dict) -> None:
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.header = options.get("header", "")
         self.contigs = [(c.rsplit(":", 1)[0], int(c.rsplit(":", 1)[1])) for c in options.get("contigs", "").split(",") if c]
 
     def write(self, rows) -> _Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
         context = TaskContext.get()
-        name = os.path.join(self.path, f"part-{context.partitionId():05d}.bam")
-        partial = f"{name}.{context.taskAttemptId()}.tmp"
-        with open(partial, "wb") as f:
+
+        def body(f) -> None:
             f.write(member(header_bytes(self.header, self.contigs)))
             data = b""
             for row in rows:
@@ -300,16 +300,16 @@ class BamWriter(DataSourceWriter):
             if data:
                 f.write(member(data))
             f.write(EOF)
-        os.replace(partial, name)
-        return _Written(name)
+
+        return _Written(publish(self.path, f"part-{context.partitionId():05d}.bam", str(context.taskAttemptId()), body))
 
     def commit(self, messages) -> None:
         pass
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None:
+                remove(m.path)
 
 
 class BamSource(DataSource):
@@ -332,6 +332,53 @@ def register(spark: SparkSession) -> None:
 
 
 def read_bam_header(path: str) -> tuple[str, list[tuple[str, int]]]:
-    with open(path, "rb") as f:
-        text, contigs, _ = read_header(f, os.path.getsize(path))
+    with open_at(path) as f:
+        text, contigs, _ = read_header(f, size_of(path))
     return text, contigs
+
+
+def reheader(spark: SparkSession, source: str, target: str, text: str, contigs: list[tuple[str, int]]) -> DataFrame:
+    """Every file of ``source`` written to the folder ``target`` with another header: (path). The records are not
+    decoded: what shares a block with the old header is packed again, the blocks behind it are copied as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for path, size in zip(b.column("path").to_pylist(), b.column("size").to_pylist()):
+                with open_at(path) as f:
+                    left = read_header(f, size)[2]
+                    for at, content in members(f, 0, size):
+                        if left <= len(content):
+                            break
+                        left -= len(content)
+                    f.seek(at)
+                    behind = at + member_size(f.read(1 << 17), 0)
+
+                    def body(out, rest=content[left:], f=f, behind=behind) -> None:
+                        out.write(member(header_bytes(text, contigs)))
+                        if rest:
+                            out.write(member(rest))
+                        f.seek(behind)
+                        while data := f.read(1 << 22):
+                            out.write(data)
+
+                    done.append(publish(target, path.rsplit("/", 1)[1], "copy", body))
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    files = spark.createDataFrame(files_of(source, ".bam"), "path string, size bigint")
+    return files.repartition(max(1, files.count())).mapInArrow(run, "path string")
+
+
+def of_records(df: DataFrame, names: list[str]) -> DataFrame:
+    """Text records (rname, rnext, pnext, tlen, aux map of type and value) as the binary source takes them; contigs by their place in ``names``."""
+    index = lambda c: F.coalesce(F.array_position(F.lit(names), F.col(c)), F.lit(0)).cast("int") - 1
+    aux = F.transform_values("aux", lambda k, v: F.concat(F.when(v["type"].isin(*"cCsSiI"), "i").otherwise(v["type"]), F.lit(":"), v["value"]))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return df.select("qname", "flag", index("rname").alias("tid"), "pos", "mapq", "cigar", index("rnext").alias("mtid"), F.col("pnext").alias("mpos"), zero("tlen").alias("isize"), "seq", "qual", aux.alias("aux"))
+
+
+def to_records(df: DataFrame, names: list[str]) -> DataFrame:
+    """The other way round."""
+    name = lambda c: F.coalesce(F.get(F.lit(names), F.col(c)), F.lit("*"))
+    aux = F.transform_values("aux", lambda k, v: F.struct(F.substring(v, 1, 1).alias("type"), F.substring(v, F.lit(3), F.length(v)).alias("value")))
+    return df.select("qname", "flag", name("tid").alias("rname"), "pos", "mapq", "cigar", name("mtid").alias("rnext"), F.col("mpos").alias("pnext"), F.col("isize").alias("tlen"), "seq", "qual", aux.alias("aux"))

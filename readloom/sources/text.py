@@ -190,23 +190,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_extract(head, r"^\S*(.*)", 1)).alias("comment"), body.alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual) of four-line records, split by the reader at ``@`` lines; quality lines that begin
-    with ``@`` are put back by their length."""
-    def parse(batches):
-        import pandas as pd
-
-        for frame in batches:
-            out = []
-            for v in frame["content"]:
-                rows = bytes(v).decode().split("\n")
-                for i in range(0, len(rows) - 3, 4):
-                    out.append((rows[i][1:].split()[0] if len(rows[i]) > 1 else "", rows[i + 1], rows[i + 3]))
-            yield pd.DataFrame(out, columns=["name", "seq", "qual"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "name string, seq string, qual string")
-
-
 def read_vcf(spark: SparkSession, source: str | DataFrame, samples: list[str] | None = None) -> DataFrame:
     """(chrom, pos 0-based, id, ref, alt array, qual, filter, info map, samples array of maps).
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar as C
-from readloom.sources import bam, text
+from readloom.sources import bam, fastq, text
 
 TOY = """@HD\tVN:1.4
 @SQ\tSN:ref\tLN:45
@@ -88,7 +88,7 @@ def test_fasta_fastq_vcf(spark, tmp_path):
     got = [tuple(r) for r in text.read_fasta(spark, str(tmp_path / "a.fa")).collect()]
     assert got == [("ref", "first one", "ACGTAC"), ("ref2", "", "GG"), ("empty", "", "")]
     (tmp_path / "a.fq").write_text("@r1 x\nACG\n+\n@II\n@r2\nT\n+\nI\n")
-    assert [tuple(r) for r in text.read_fastq(spark, str(tmp_path / "a.fq")).collect()] == [("r1", "ACG", "@II"), ("r2", "T", "I")]
+    assert [tuple(r) for r in fastq.read_fastq(spark, str(tmp_path / "a.fq")).collect()] == [("r1", "ACG", "@II"), ("r2", "T", "I")]
     vcf = ["##x", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2", "c1\t10\t.\tA\tC,G\t30.5\tPASS\tDP=4;INDEL;AF=0.1,0.2\tGT:PL\t0/1:1,2,3\t1/1", "c1\t11\trs1\tA\tT\t.\t.\t."]
     frame = spark.createDataFrame([(v,) for v in vcf], "value string")
     a, b = text.read_vcf(spark, frame).orderBy("pos").collect()
