@@ -102,7 +102,7 @@ def random_base(code_: Column, seed: Column) -> Column:
     two = F.bit_count(b) == 2
     low = F.when(b.bitwiseAND(F.lit(1)) > 0, "A").when(b.bitwiseAND(F.lit(2)) > 0, "C").otherwise("G")
     high = F.when(b.bitwiseAND(F.lit(8)) > 0, "T").when(b.bitwiseAND(F.lit(4)) > 0, "G").otherwise("C")
-    return F.when(two, F.when(F.xxhash64(seed) % 2 == 0, low).otherwise(high)).otherwise(code_)
+    return F.when(two, F.when(F.instr(F.lit("02468ace"), F.substring(F.md5(seed), 1, 1)) > 0, low).otherwise(high)).otherwise(code_)
 
 
 def colours(seq: Column | str) -> Column:
@@ -111,3 +111,10 @@ def colours(seq: Column | str) -> Column:
     number = lambda b: F.instr(F.lit("ACGT"), b) - 1
     both = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.when((number(a) < 0) | (number(b) < 0), "4").otherwise(number(a).bitwiseXOR(number(b)).cast("string")))
     return F.when(F.length(_c(seq)) > 1, F.array_join(both, "")).otherwise("")
+
+
+def ambiguity(seq: Column | str) -> dict[str, Column]:
+    """Bases of two-, three- and four-base codes, and the two-base ones that are transitions (R, Y) or transversions."""
+    s = F.upper(_c(seq))
+    n = lambda codes: F.length(s) - F.length(F.translate(s, codes, ""))
+    return {"n_two": n("RYSWKM"), "n_three": n("BDHV"), "n_four": n("N"), "n_transitions": n("RY"), "n_transversions": n("SWKM")}

@@ -94,16 +94,24 @@ def pileup_reads(df: DataFrame, mask: int = PILEUP_MASK) -> DataFrame:
     return df.where(~has("flag", mask))
 
 
-def mpileup_reads(df: DataFrame, min_quality: int = 0, exclude_groups: list[str] | None = None, drop_orphans: bool = True) -> DataFrame:
-    """Mapped reads of enough quality, without excluded groups and without paired but improper ones."""
+def mpileup_reads(df: DataFrame, min_quality: int = 0, exclude_groups: list[str] | None = None, drop_orphans: bool = True, regions: DataFrame | None = None) -> DataFrame:
+    """Mapped reads of enough quality, without excluded groups and without paired but improper ones; with ``regions`` those that overlap any."""
     x = df.where(~has("flag", UNMAP) & (F.col("mapq") >= min_quality))
     if exclude_groups:
         x = x.where(F.col("rg").isNull() | ~F.col("rg").isin(exclude_groups))
     if drop_orphans:
         x = x.where(~has("flag", PAIRED) | has("flag", PROPER))
+    if regions is not None:
+        x = overlap_semi(x.withColumn("__end", end_pos("pos", "cigar")), regions, "tid", "pos", "__end").drop("__end")
     return x
 
 
+def shifted_quality(qual: Column | str, by: int = 31, offset: int = 33) -> Column:
+    """Quality characters of a scale that begins ``by`` higher, brought to this one; what would be below 0 is 0."""
+    q = F.split(F.col(qual) if isinstance(qual, str) else qual, "")
+    return F.array_join(F.transform(q, lambda c: F.char(F.greatest(F.ascii(c) - by, F.lit(offset)))), "")
+
+
 def region(df: DataFrame, tid: int, begin: int, end: int, mode: str = "intended") -> DataFrame:
     """Records overlapping [begin, end) of a contig; a read without reference bases counts as one base."""
     stop = F.greatest(end_pos("pos", "cigar", mode), F.col("pos") + 1)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.joins import overlap_semi
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -28,7 +30,11 @@ def is_transition(ref: Column | str, alt: Column | str) -> Column:
     return F.concat(F.upper(_c(ref)), F.upper(_c(alt))).isin("AG", "GA", "CT", "TC")
 
 
-def variant_filter(df: DataFrame, variants_only: bool = True, no_indels: bool = False, acgt_only: bool = True, min_quality: float | None = None) -> DataFrame:
+def variant_filter(df: DataFrame, variants_only: bool = True, no_indels: bool = False, acgt_only: bool = True, min_quality: float | None = None,
+    min_covered: float | None = None, covered: Column | None = None, regions: DataFrame | None = None,
+) -> DataFrame:
+    """The view filters: variants only, no indels, plain reference bases, a least quality, a least share ``covered`` of samples with data, and
+    the overlap with a list of regions (tid, start, stop)."""
     x = df
     if variants_only:
         x = x.where(~F.col("alt").isin("X", "."))
@@ -36,7 +42,13 @@ def variant_filter(df: DataFrame, variants_only: bool = True, no_indels: bool =
         x = x.where(~is_indel("ref", "alt"))
     if acgt_only:
         x = x.where(F.col("ref").rlike("^[ACGTacgt]+$"))
-    return x if min_quality is None else x.where(F.col("qual") >= min_quality)
+    if min_quality is not None:
+        x = x.where(F.col("qual") >= min_quality)
+    if min_covered is not None:
+        x = x.where(covered >= min_covered)
+    if regions is not None:
+        x = overlap_semi(x.withColumn("__end", F.col("pos") + F.length("ref")), regions, "tid", "pos", "__end").drop("__end")
+    return x
 
 
 def samples_of(pl: Column | str) -> Column:
@@ -375,11 +387,43 @@ def group_contrast(calls: Column | str, first: int) -> Column:
 
 
 def permuted_samples(pl: Column | str, seed: Column) -> Column:
-    """The samples in the order of a hash of seed and place: a permutation that comes out the same each time."""
-    places = F.zip_with(samples_of(pl), F.sequence(F.lit(0), F.size(samples_of(pl)) - 1), lambda s, i: F.struct(F.xxhash64(seed, i).alias("h"), s.alias("s")))
+    """The samples in the order of a digest of seed and place: a permutation that comes out the same each time, on any engine."""
+    places = F.zip_with(samples_of(pl), F.sequence(F.lit(0), F.size(samples_of(pl)) - 1), lambda s, i: F.struct(F.md5(F.concat(seed.cast("string"), F.lit(":"), i.cast("string"))).alias("h"), s.alias("s")))
     return F.transform(F.array_sort(places), lambda x: x["s"])
 
 
+def reorder_likelihoods(pl: Column | str, alleles: Column | int) -> Column:
+    """Likelihoods written row by row (0/0, 0/1, 0/2, ..., 1/1, ...) in the order 0/0, 0/1, 1/1, 0/2, ...; one sample."""
+    p, n = _c(pl), alleles if isinstance(alleles, Column) else F.lit(alleles)
+    old = lambda x, y: (x * n - (x * (x - 1) / 2).cast("int") + y - x).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda y: F.transform(F.sequence(F.lit(0), y), lambda x: F.get(p, old(x, y)))))
+
+
+def field_first(fields: Column | str, values: Column | str, name: str) -> tuple[Column, Column]:
+    """FORMAT and one sample's values with the named field in front; as they are where it is missing."""
+    f, v = F.split(_c(fields), ":"), F.split(_c(values), ":")
+    at = F.array_position(f, name).cast("int")
+    front = lambda a: F.array_join(F.concat(F.slice(a, at, F.lit(1)), F.slice(a, F.lit(1), at - 1), F.slice(a, at + 1, F.size(a))), ":")
+    return F.when(at > 0, front(f)).otherwise(_c(fields)), F.when(at > 0, front(v)).otherwise(_c(values))
+
+
+def without_info(info: Column | str, *names: str) -> Column:
+    """An INFO text without the named entries, ``.`` where none is left."""
+    kept = F.filter(F.split(_c(info), ";"), lambda e: ~F.split(e, "=")[0].isin(*names))
+    return F.when(F.size(kept) > 0, F.array_join(kept, ";")).otherwise(".")
+
+
+def true_place_errors(df: DataFrame, gap: int = 5) -> DataFrame:
+    """(decile, n_reads, n_wrong) of mapped reads whose name ``contig_place_...`` holds the true 1-based place: wrong ones at least as
+    confident as each tenth of the mapping quality. The running sums go over the deciles, of which there are few."""
+    name = r"^(.*?)_([0-9]+)_[0-9]+(_.*)?$"
+    there = (F.regexp_extract("qname", name, 1) == F.col("rname")) & (F.abs(F.expr(f"try_cast(nullif(regexp_extract(qname, '{name}', 2), '') as bigint)") - (F.col("pos") + 1)) <= gap)
+    x = df.select(F.floor(F.col("mapq") / 10).cast("int").alias("decile"), (~F.coalesce(there, F.lit(False))).cast("bigint").alias("__w"))
+    x = x.groupBy("decile").agg(F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__w"))
+    w = Window.orderBy(F.desc("decile")).rowsBetween(Window.unboundedPreceding, 0)
+    return x.select("decile", F.sum("__n").over(w).alias("n_reads"), F.sum("__w").over(w).alias("n_wrong"))
+
+
 def indel_candidates(blocks: DataFrame, least: int = 1) -> DataFrame:
     """(tid, pos, indel, n_reads): the kinds of indel that follow a position and their support."""
     x = blocks.where("after <> 0").groupBy("tid", (F.col("end") - 1).alias("pos"), F.col("after").alias("indel")).agg(F.count(F.lit(1)).alias("n_reads"))

@@ -137,10 +137,26 @@ def string_hashes(spark: SparkSession, d: str) -> DataFrame:
     return alignments(spark, d).select("qname").distinct().select("qname", *[getattr(H, k)("qname").alias(k) for k in _HASH_SQL])
 
 
-@R.add("string_hashes_more")
+_WRAP = 4294967296
+_FOLD = "list_reduce({0}, lambda h, c: {1}, cast({2} as bigint))"
+_PAIRED = "(list_reduce(list_prepend({{'h': cast({1} as bigint), 'a': cast({2} as bigint)}}, list_transform({0}, lambda c: {{'h': c, 'a': cast(0 as bigint)}})), lambda s, c: {{'h': {3}, 'a': {4}}})).h"
+_MORE_SQL = {
+    "rs": _PAIRED.format(_CODES, 0, 63689, f"cast((cast(s.h as hugeint) * s.a % {_WRAP} + c.h) % {_WRAP} as bigint)", f"cast(cast(s.a as hugeint) * 378551 % {_WRAP} as bigint)"),
+    "dek": _FOLD.format(_CODES, f"xor(xor((h * 32) % {_WRAP}, h >> 27), c)", "length(qname)"),
+    "js": _FOLD.format(_CODES, f"xor(h, ((h * 32) % {_WRAP} + c + (h >> 2))) % {_WRAP}", 1315423911),
+    "fnv": _FOLD.format(_CODES, f"xor(cast(cast(h as hugeint) * 2166136261 % {_WRAP} as bigint), c)", 0),
+    "elf": _FOLD.format(_CODES, f"(xor((h * 16 + c) % {_WRAP}, ((h * 16 + c) % {_WRAP} & 4026531840) >> 24)) & (4294967295 - ((h * 16 + c) % {_WRAP} & 4026531840))", 0),
+    "ap": _PAIRED.format(
+        _CODES, 2863311530, 0,
+        f"case when s.a % 2 = 0 then xor(s.h, xor((s.h * 128) % {_WRAP}, (c.h * (s.h >> 3)) % {_WRAP})) else xor(s.h, 4294967295 - ((s.h * 2048) % {_WRAP} + xor(c.h, s.h >> 5)) % {_WRAP}) end", "s.a + 1",
+    ),
+}
+
+
+@R.add("string_hashes_more", f"with {ALN}, q as (select distinct qname from aln) select qname, " + ", ".join(f"cast({v} as bigint) as {k}" for k, v in _MORE_SQL.items()) + " from q")
 def string_hashes_more(spark: SparkSession, d: str) -> DataFrame:
-    """The hashes whose steps mix bits; checked against Python in the tests."""
-    return alignments(spark, d).select("qname").distinct().select("qname", *[getattr(H, k)("qname").alias(k) for k in ("rs", "dek", "js", "fnv", "elf", "ap")])
+    """The hashes whose steps mix bits."""
+    return alignments(spark, d).select("qname").distinct().select("qname", *[getattr(H, k)("qname").alias(k) for k in _MORE_SQL])
 
 
 _BIN_SQL = f"""case when b = e then 4681 + b when b >> 3 = e >> 3 then 585 + (b >> 3) when b >> 6 = e >> 6 then 73 + (b >> 6)
@@ -225,6 +241,13 @@ def mpileup_reads(spark: SparkSession, d: str) -> DataFrame:
     return X.mpileup_reads(alignments(spark, d), 5, ["rgB"]).select("ord")
 
 
+@R.add("mpileup_region_reads", f"with {ALN}, {REG} select ord, chr(cast(33 + greatest(0, 20 + mapq - 31) as int)) || '!' as qual from aln where flag & 4 = 0 and mapq >= 5 and (flag & 1 = 0 or flag & 2 <> 0) and exists (select 1 from reg where reg.tid = aln.tid and pos < stop and start < {END})")
+def mpileup_region_reads(spark: SparkSession, d: str) -> DataFrame:
+    """those that overlap a list of regions, with qualities of the old scale shifted."""
+    x = X.mpileup_reads(alignments(spark, d), 5, regions=regions(spark, d))
+    return x.select("ord", X.shifted_quality(F.concat(F.char(F.col("mapq") + 53), F.lit("#"))).alias("qual"))
+
+
 @R.add("region_query", f"with {ALN} select ord from aln where tid = 7 and pos < 40000 and greatest({END}, pos + 1) > 10000")
 def region_query(spark: SparkSession, d: str) -> DataFrame:
     """Reads overlapping a region; contig and start bound reach the scan."""

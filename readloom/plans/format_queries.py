@@ -219,17 +219,18 @@ def interpolated_runs(spark: SparkSession, d: str) -> DataFrame:
     return A.depth_runs(A.interpolated_blocks(alignments(spark, d)), "tid")
 
 
+_NAMED = "concat('kx', cast(tid as string), '_', cast(pos + 1 + cast(mapq % 9 as int) as string), '_', cast(mpos as string), '_', cast(ord as string))"
+
+
 @R.add(
     "evaluation_by_quality",
-    f"""with {ALN}, x as (select mapq // 10 as decile, abs(pos - (mpos - 300)) <= 5 + sum_qual % 300 as right_ from aln), q as (select decile, count(*) as n, count(*) filter (not right_) as w from x group by 1)
+    f"""with {ALN}, x as (select mapq // 10 as decile, ord % 13 <> 0 and mapq % 9 <= 5 as right_ from aln where tid >= 0), q as (select decile, count(*) as n, count(*) filter (not right_) as w from x group by 1)
     select cast(decile as int) as decile, cast(sum(n) over o as bigint) as n_reads, cast(sum(w) over o as bigint) as n_wrong from q window o as (order by decile desc rows unbounded preceding)""",
 )
 def evaluation_by_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Wrong mappings at least as confident as each decile; the running sums go over the deciles."""
-    right = F.expr("abs(pos - (mpos - 300)) <= 5 + sum_qual % 300")
-    q = alignments(spark, d).groupBy(F.expr("mapq div 10").cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.sum((~right).cast("bigint")).alias("w"))
-    w = Window.orderBy(F.desc("decile")).rowsBetween(Window.unboundedPreceding, 0)
-    return q.select("decile", F.sum("n").over(w).alias("n_reads"), F.sum("w").over(w).alias("n_wrong"))
+    """Wrong mappings at least as confident as each decile, against the places in the names of simulated reads."""
+    x = alignments(spark, d).where("tid >= 0")
+    return V.true_place_errors(x.selectExpr(f"{_NAMED} as qname", "concat('kx', cast(case when ord % 13 = 0 then tid + 1 else tid end as string)) as rname", "pos", "mapq"))
 
 
 @R.add(

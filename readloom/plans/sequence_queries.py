@@ -28,6 +28,16 @@ def sequence_composition(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_MIXED = "translate(seq, 'ACGTN', 'ARYSB')"
+
+
+@R.add("ambiguity_classes", f"with {SEQ}, m as (select doc_id, {_MIXED} as m from s) select doc_id, " + ", ".join(f"cast(length(m) - length(translate(m, '{c}', '')) as int) as {k}" for k, c in (("n_two", "RYSWKM"), ("n_three", "BDHV"), ("n_four", "N"), ("n_transitions", "RY"), ("n_transversions", "SWKM"))) + " from m")
+def ambiguity_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of several bases by class, transitions and transversions."""
+    x = sequences(spark, d).selectExpr("doc_id", f"{_MIXED} as m")
+    return x.select("doc_id", *[v.alias(k) for k, v in S.ambiguity("m").items()])
+
+
 @R.add("reverse_complement", f"with {SEQ} select doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) as digest from s")
 def reverse_complement(spark: SparkSession, d: str) -> DataFrame:
     """Reverse complements, by digest."""
@@ -143,7 +153,14 @@ def contig_windows(spark: SparkSession, d: str) -> DataFrame:
     return x.select("name", (F.col("i") * 5000000 + 1).alias("beg"), stop.alias("stop"))
 
 
-@R.add("random_bases")
+_PICK = "case c when 'M' then {0} when 'R' then {1} when 'W' then {2} when 'S' then {3} else c end".format(*[f"case when even then '{a}' else '{b}' end" for a, b in ("AC", "AG", "AT", "CG")])
+
+
+@R.add(
+    "random_bases",
+    f"""with {SEQ}, u as (select doc_id, translate(seq, 'ACGTN', 'MRWSN') as t, unnest(range(0, length(seq))) as i from s),
+    e as (select substr(t, i + 1, 1) as c, contains('02468ace', substr(md5(doc_id || ':' || i), 1, 1)) as even from u) select {_PICK} as base, count(*) as n from e group by 1""",
+)
 def random_bases(spark: SparkSession, d: str) -> DataFrame:
     """One base for every two-base code, chosen by a hash of document and position."""
     x = sequences(spark, d).select("doc_id", F.posexplode(F.split(F.translate("seq", "ACGTN", "MRWSN"), "")).alias("i", "c"))

@@ -9,6 +9,7 @@ from readloom.functions.cigar import ref_blocks
 from readloom.operators import aggregates as A
 from readloom.operators import realign as Z
 from readloom.plans.alignment_queries import _BLOCKS, ALN, _matches, ops_sql
+from readloom.plans.alignment_queries import R as QC
 from readloom.plans.derive import ALN as ALN_EXPRS
 from readloom.plans.derive import alignments, sequences
 from readloom.plans.registry import Registry
@@ -77,7 +78,17 @@ def coverage_text(spark: SparkSession, d: str) -> DataFrame:
     return coverage_lines(A.coverage(alignments(spark, d).where("tid >= 0")))
 
 
-@R.add("qc_report")
+def _values(sql: str, columns: list[str]) -> str:
+    return " union all ".join(f"select '{c}' as name, cast({c} as double) as value from ({sql})" for c in columns)
+
+
+_REPORT = {
+    "qc_basic_stats": ["num_alignments", "strand_counter", "mean_map_quality", "mean_alignment_length"], "qc_pair_distance": ["n_matches", "mean_distance"],
+    "coverage_summary": ["covered_bases", "depth_sum", "mean_coverage"],
+}
+
+
+@R.add("qc_report", " union all ".join(_values(QC.sql[q], c) for q, c in _REPORT.items()))
 def report(spark: SparkSession, d: str) -> DataFrame:
     """The report as lines."""
     a = alignments(spark, d)

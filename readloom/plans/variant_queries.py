@@ -269,11 +269,38 @@ def group_contrast(spark: SparkSession, d: str) -> DataFrame:
     return x.select("vec_id", F.round(V.group_contrast("calls", 8), 6).alias("chi2"))
 
 
-@R.add("permuted_samples", f"with {PL} select vec_id, cast(list_sum(pl) as bigint) as total, cast(20 as int) as n_samples from p")
+@R.add(
+    "permuted_samples",
+    f"""with {PL}, o as (select vec_id, list_sort(list_transform(range(0, len(pl) // 3), lambda i: {{'h': md5(vec_id || ':' || i), 's': pl[i * 3 + 1:i * 3 + 3]}})) as o from p)
+    select vec_id, md5(array_to_string(flatten(list_transform(o, lambda x: x.s)), ',')) as digest, cast(len(o) as int) as n_samples from o""",
+)
 def permuted_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Samples permuted; what a permutation leaves as it was."""
+    """Samples permuted, in their new order."""
     x = likelihoods(spark, d).select("vec_id", V.permuted_samples("pl", F.col("vec_id")).alias("s"))
-    return x.select("vec_id", F.aggregate(F.flatten("s"), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"), F.size("s").alias("n_samples"))
+    return x.select("vec_id", F.md5(F.array_join(F.transform(F.flatten("s"), lambda v: v.cast("string")), ",")).alias("digest"), F.size("s").alias("n_samples"))
+
+
+@R.add("variant_view", f"with {VAR.replace(' from orders)', ', o_custkey % 21 as cov from orders)')}, reg as ({REGION_SQL}) select vid from var where alt <> 'X' and cov / 20.0 >= 0.5 and exists (select 1 from reg where reg.tid = var.tid and var.pos < reg.stop and reg.start < var.pos + length(ref))")
+def variant_view(spark: SparkSession, d: str) -> DataFrame:
+    """variants with data in at least half of the samples that overlap a list of regions."""
+    x = table(spark, d, "orders").selectExpr(*[f"{e} as {n}" for n, e in VARS], "o_custkey % 21 as cov")
+    return V.variant_filter(x, min_covered=0.5, covered=F.col("cov") / 20.0, regions=regions(spark, d)).select("vid")
+
+
+@R.add(
+    "record_edits",
+    f"""with {PL} select vec_id, pl[1] || ',' || pl[2] || ',' || pl[4] || ',' || pl[3] || ',' || pl[5] || ',' || pl[6] as pl, 'GT:PL:GQ' as fields, '0/1:' || pl[1] || ':' || pl[2] as sample,
+      case when vec_id % 2 = 0 then '.' else 'AF=1;MQ=3' end as info from p""",
+)
+def record_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihoods of three alleles in another order, the genotype in front, INFO entries removed."""
+    text = lambda i: F.get("pl", i).cast("string")
+    x = likelihoods(spark, d).withColumn("values", F.concat_ws(":", text(0), text(1), F.lit("0/1"))).withColumn("fields", F.lit("PL:GQ:GT"))
+    x = x.withColumn("values", F.concat_ws(":", text(0), F.lit("0/1"), text(1))).withColumn("fields", F.lit("PL:GT:GQ"))
+    fields, sample = V.field_first("fields", "values", "GT")
+    info = F.when(F.col("vec_id") % 2 == 0, "DP=1;QS=2").otherwise("DP=1;AF=1;QS=2;MQ=3")
+    six = V.reorder_likelihoods(F.slice("pl", 1, 6), 3)
+    return x.select("vec_id", F.array_join(F.transform(six, lambda v: v.cast("string")), ",").alias("pl"), fields.alias("fields"), sample.alias("sample"), V.without_info(info, "DP", "QS").alias("info"))
 
 
 @R.add("vcf_output", f"with {VAR} select 'c' || tid || chr(9) || (pos + 1) || chr(9) || '.' || chr(9) || ref || chr(9) || case when alt = 'X' then '.' else alt end || chr(9) || qual || chr(9) || '.' || chr(9) || 'DP=' || dp || case when length(ref) > 1 then ';LONG' else '' end as value, count(*) as n from var group by 1")
