@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators import aggregates as A
 from readloom.operators import calling as K
+from readloom.operators import phase as P
 from readloom.operators import variants as V
 from readloom.plans.derive import likelihoods
 from readloom.plans.registry import Registry
@@ -142,3 +143,12 @@ def site_posteriors(spark: SparkSession, d: str) -> DataFrame:
     x = likelihoods(spark, d)
     parts = [V.site_estimates(x, "vec_id", prior=p, ploidy=n).select("vec_id", F.lit(f"{p}{n}").alias("model"), F.round("p_variant", 6).alias("p_variant")) for p, n in (("cond2", 2), ("flat", 2), ("full", 1))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@R.add("phased_sites")
+def phased_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Haplotypes of the sites where reads show two bases, and the reads of each."""
+    x = base_pile(spark, d).where("not is_del").select("tid", "bin", "pos", "ord", "is_ref")
+    both = x.groupBy(*_SITE).agg(F.min("is_ref").alias("a"), F.max("is_ref").alias("b")).where("a <> b").drop("a", "b")
+    calls = x.join(both, _SITE).select("tid", "pos", F.col("ord").alias("read"), (~F.col("is_ref")).cast("int").alias("allele"))
+    return P.phased(calls)
