@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators.intervals import stretches_and_gaps
 from readloom.operators.joins import interval_join
+from readloom.session import materialize
 
 
 def pieces(site: np.ndarray, allele: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -73,6 +74,7 @@ def phased(calls: DataFrame, k: int = 8) -> DataFrame:
     """
     x = calls.where("allele in (0, 1) and pos is not null and read is not null").groupBy("tid", "read", "pos").agg(F.min("allele").cast("int").alias("allele"))
     reads = x.groupBy("tid", "read").agg(F.min("pos").alias("beg"), F.max("pos").alias("end"), F.array_sort(F.collect_list(F.struct("pos", "allele"))).alias("calls")).where("beg < `end`")
+    reads = materialize(reads, "reads")
     blocks = stretches_and_gaps(reads, ["tid"], "beg", "end").where("kind = 'covered'").select("tid", F.col("seg_start").cast("int").alias("block"), F.col("seg_end").cast("int").alias("stop"))
     joined = interval_join(reads.withColumn("one", F.col("beg") + 1), blocks, "tid", "beg", "one", "block", "stop").select("tid", "block", "read", "calls")
     kind = joined.schema["read"].dataType.simpleString()
