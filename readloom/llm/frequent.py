@@ -100,7 +100,8 @@ def most_frequent(df: DataFrame, item: Column, k: int, width: int = 50_000, exac
             break
         width = min(8 * width, max_width)
     if exact:
-        candidates = counts.where(F.col("at_most") >= floor)
+        # written, so that Spark knows their size when it chooses the join
+        candidates = materialize(counts.where(F.col("at_most") >= floor), "candidates")
         rows = df.select(item.cast("string").alias("item")).join(candidates.select("item"), "item", "left_semi")
         # counted per task before the shuffle, so an item with a third of all rows is a row of each task
         candidates = candidates.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_rows")), "item")
