@@ -286,3 +286,28 @@ def depth_of_bases(pile: DataFrame, files: list[int], keys: list[str], min_base_
     counts = ~F.col("is_del") & (F.col("base_q") >= min_base_quality)
     x = pile.where(F.col("mapq") >= min_quality)
     return x.groupBy(*keys).agg(*[F.sum((counts & (F.col("file") == f)).cast("bigint")).alias(f"depth_{f}") for f in files])
+
+
+def capped_reads(df: DataFrame, cap: int, ordinal: str) -> DataFrame:
+    """The reads (tid, pos, end) a pileup keeps when it holds at most ``cap`` of them at any position: in the order of places a read is
+    left out where so many kept ones reach over its start. Reads of a contig stream through one task, which holds the ends of at most
+    ``cap`` reads; without a cap no such pass is needed."""
+    import heapq
+
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tid, ends = None, []
+        for b in batches:
+            keep = []
+            for t, beg, end in zip(b.column("tid").to_pylist(), b.column("pos").to_pylist(), b.column("end").to_pylist()):
+                if t != tid:
+                    tid, ends = t, []
+                while ends and ends[0] <= beg:
+                    heapq.heappop(ends)
+                keep.append(len(ends) < cap)
+                if keep[-1]:
+                    heapq.heappush(ends, max(end, beg + 1))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition("tid").sortWithinPartitions("tid", "pos", ordinal).mapInArrow(run, schema)

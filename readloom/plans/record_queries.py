@@ -283,3 +283,24 @@ def output_modes(spark: SparkSession, d: str) -> DataFrame:
         y = C.render(x, m, "t").withColumn("mode", F.lit(m))
         out = y if out is None else out.unionByName(y)
     return out
+
+
+_UCSC = "select o_orderkey as k, o_orderkey % 4 as m, case when o_custkey % 2 = 0 then '+' else '-' end as strand from orders"
+
+
+@R.add(
+    "known_site_lines",
+    f"""with k as ({_UCSC}) select 'c' || (k % 20) as chrom, cast(case when m = 3 then k * 2 else k * 2 + 1 end as int) as pos, 'rs' || k as id, case when m = 3 then 'N' else 'A' end as ref,
+      case m when 0 then 'G' when 1 then 'G' when 2 then 'C,G' else case when strand = '+' then 'NCA' else 'NTG' end end as alt,
+      'molType=genomic;class=' || case when m = 3 then 'in-del' else 'single' end || case when m = 1 then '' else ';valid=by-freq' end || case when m = 2 then ';AF=0.25' else '' end as info from k""",
+)
+def known_site_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of known sites as variants, alleles of the other strand turned round."""
+    forward = "case m when 0 then 'A/G' when 1 then 'G/A' when 2 then 'A/C/G' else '-/CA' end"
+    backward = "case m when 0 then 'T/C' when 1 then 'C/T' when 2 then 'C/G/T' else '-/CA' end"
+    f = [
+        "'585'", "concat('c', cast(k % 20 as string))", "cast(k * 2 as string)", "cast(k * 2 + 1 as string)", "concat('rs', cast(k as string))", "'0'", "strand", "case when m = 3 then '-' else 'A' end", "'A'",
+        f"case when strand = '+' then {forward} else {backward} end", "'genomic'", "case when m = 3 then 'in-del' else 'single' end", "case when m = 1 then 'unknown' else 'by-freq' end", "case when m = 2 then '0.25' else '0' end",
+    ]
+    lines = table(spark, d, "orders").selectExpr("o_orderkey as k", "o_orderkey % 4 as m", "case when o_custkey % 2 = 0 then '+' else '-' end as strand").selectExpr(f"concat_ws('\t', {', '.join(f)}) as value")
+    return C.from_ucsc(lines)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.functions.cigar import ref_blocks
+from readloom.functions.cigar import end_pos, ref_blocks
 from readloom.operators import aggregates as A
 from readloom.operators import realign as Z
 from readloom.plans.alignment_queries import _BLOCKS, ALN, _matches, ops_sql
@@ -13,7 +15,8 @@ from readloom.plans.alignment_queries import R as QC
 from readloom.plans.derive import ALN as ALN_EXPRS
 from readloom.plans.derive import alignments, sequences
 from readloom.plans.registry import Registry
-from readloom.sources.report import coverage_lines, qc_report
+from readloom.session import remember, shared_dir
+from readloom.sources.report import coverage_lines, qc_report, write_histogram, write_html
 from readloom.streaming import running as S
 
 R = Registry()
@@ -93,3 +96,28 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     """The report as lines."""
     a = alignments(spark, d)
     return qc_report(a, _matches(spark, d), A.coverage_runs(a.where("tid >= 0")))
+
+
+@R.add("qc_histogram_file", "select cast(bin as varchar) || chr(9) || reads as value from (" + QC.sql["qc_mapping_histogram"] + ")")
+def qc_histogram_file(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a histogram file."""
+    path = remember(spark, f"{shared_dir(spark)}/report-{uuid.uuid4().hex}")
+    write_histogram(A.mapping_histogram(alignments(spark, d), _matches(spark, d)), f"{path}/mappings.tsv")
+    return spark.read.text(f"{path}/mappings.tsv")
+
+
+@R.add("qc_page", " union all ".join(f"select '{c}' as name, count(*) as n from ({QC.sql[q]})" for q, cs in _REPORT.items() for c in cs))
+def qc_page(spark: SparkSession, d: str) -> DataFrame:
+    """The values on the report's page, each once."""
+    path = remember(spark, f"{shared_dir(spark)}/report-{uuid.uuid4().hex}")
+    write_html(report(spark, d), {"mappings per read": A.mapping_histogram(alignments(spark, d), _matches(spark, d))}, f"{path}/page.html")
+    page = spark.read.option("wholetext", "true").text(f"{path}/page.html")
+    cells = F.regexp_extract_all("value", F.lit("<tr><td>([a-z_]+)</td><td>[^<]+</td></tr>"), F.lit(1))
+    return page.select(F.explode(cells).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("capped_pileup")
+def capped_pileup(spark: SparkSession, d: str) -> DataFrame:
+    """The reads a pileup holds when no position may have more than three."""
+    x = alignments(spark, d).where("tid >= 0").select("ord", "tid", "pos", end_pos("pos", "cigar").alias("end"))
+    return A.capped_reads(x, 3, "ord").select("ord", "tid", "pos")

@@ -103,6 +103,23 @@ def from_hapmap(genotypes: DataFrame, positions: DataFrame) -> DataFrame:
     return x.select("chrom", "pos", F.col("rs").alias("id"), "ref", F.col("__alt").alias("alt"), "gt")
 
 
+def from_ucsc(lines: DataFrame) -> DataFrame:
+    """(chrom, pos 1-based, id, ref, alt, info) of known-site lines (bin, chrom, start, end, name, score, strand, reference, reference, observed
+    alleles by ``/``, molecule, class, validated, average). Observed alleles of the other strand are turned round. Where they aren't all single bases, all
+    alleles stand behind a base N and the place is that of this base."""
+    x = _fields(lines).select(*[_at(i).alias(f"f{i}") for i in range(14)])
+    observed = F.when(F.col("f6") == "-", F.translate(F.reverse("f9"), "ACGTRYMKWSNacgtrymkwsn", "TGCAYRKMWSNtgcayrkmwsn")).otherwise(F.col("f9"))
+    indel = ~F.col("f9").rlike("^[ACGT](/[ACGT])+$")
+    form = lambda a: F.when(indel, F.concat(F.lit("N"), F.replace(a, F.lit("-"), F.lit("")))).otherwise(a)
+    others = F.transform(F.filter(F.split(observed, "/"), lambda a: a != F.col("f7")), form)
+    share = F.expr("try_cast(f13 as double)")
+    info = F.concat(
+        F.lit("molType="), "f10", F.lit(";class="), "f11", F.when(F.col("f12") == "unknown", "").otherwise(F.concat(F.lit(";valid="), "f12")), F.when(share > 0, F.concat(F.lit(";AF="), "f13")).otherwise("")
+    )
+    pos = F.expr("try_cast(f2 as int)") + F.when(indel, 0).otherwise(1)
+    return x.select(F.col("f1").alias("chrom"), pos.alias("pos"), F.col("f4").alias("id"), form(F.col("f7")).alias("ref"), F.array_join(others, ",").alias("alt"), info.alias("info"))
+
+
 # --- rows as lines ------------------------------------------------------------------------------
 
 

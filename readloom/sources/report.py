@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.operators import aggregates as A
+from readloom.sources.files import place
 
 
 def coverage_lines(coverage: DataFrame) -> DataFrame:
@@ -26,10 +25,17 @@ def qc_report(alignments: DataFrame, matches: DataFrame, runs: DataFrame) -> Dat
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _write(path: str, text: str) -> None:
+    fs, p = place(path)
+    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(p) as f:
+        f.write(text.encode())
+
+
 def write_histogram(histogram: DataFrame, path: str) -> None:
     """A histogram (at most a dozen rows) as one tab-separated file."""
     rows = histogram.orderBy("bin").collect()
-    Path(path).write_text("".join("\t".join(map(str, r)) + "\n" for r in rows))
+    _write(path, "".join("\t".join(map(str, r)) + "\n" for r in rows))
 
 
 def write_html(report: DataFrame, histograms: dict[str, DataFrame], path: str) -> None:
@@ -42,4 +48,4 @@ def write_html(report: DataFrame, histograms: dict[str, DataFrame], path: str) -
         head = "".join(f"<th>{c}</th>" for c in h.columns)
         lines = "".join("<tr>" + "".join(f"<td>{v}<div style='background:#69c;height:4px;width:{100 * v // most if i else 0}px'></div></td>" for i, v in enumerate(r)) + "</tr>" for r in rows)
         body += f"<h2>{title}</h2><table><tr>{head}</tr>{lines}</table>"
-    Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>Quality</title>{body}")
+    _write(path, f"<!doctype html><meta charset=utf-8><title>Quality</title>{body}")

@@ -174,3 +174,46 @@ def test_indel_alleles(spark):
 
     got = {r["g"]: tuple(r["x"]) if r["x"] else None for r in df.select("g", E.indel_alleles(F.col("g")).alias("x")).collect()}
     assert got == cases
+
+
+def test_levels_and_caps(spark):
+    from readloom.operators.aggregates import capped_reads
+    from readloom.operators.index import display_levels, out_of_order
+
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 3)), b := int(rng.integers(0, 300)), b + int(rng.integers(1, 60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "ord bigint, tid int, beg int, end int").repartition(3)
+    level = {r["ord"]: r["level"] for r in display_levels(df, "ord").collect()}
+    kept = {r["ord"] for r in capped_reads(df.withColumnRenamed("beg", "pos"), 5, "ord").collect()}
+    want_levels, want_kept = {}, set()
+    for tid in range(3):
+        placed, held = [], []
+        for i, _, b, e in sorted((r for r in rows if r[1] == tid), key=lambda r: (r[2], r[0])):
+            taken = {want_levels[j] for j, x in placed if x > b}
+            want_levels[i] = next(k for k in range(1, 999) if k not in taken)
+            placed.append((i, e))
+            if sum(x > b for x in held) < 5:
+                want_kept.add(i)
+                held.append(e)
+    assert level == want_levels and kept == want_kept
+    places = [(r[0], -1 if r[0] % 9 == 0 else r[1], r[2]) for r in rows]
+    order = spark.createDataFrame(places, "ord bigint, tid int, pos int").repartition(3)
+    key = [((t < 0), t, p) for _, t, p in sorted(places)]
+    assert out_of_order(order, "ord").first()[0] == sum(b < a for a, b in zip(key, key[1:]))
+    assert out_of_order(order.limit(0), "ord").first()[0] == 0
+
+
+def test_linkage_helpers(spark):
+    from readloom.operators import calling as K
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, i * 7, [int(v) for v in rng.integers(0, 60, 12)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, g int, pos int, pl array<int>").repartition(4)
+    got = {(r["id"], r["previous"]): r["r2"] for r in K.adjacent_ld(df, "id", "g", "pos", width=50).collect()}
+    assert set(got) == {(i, i - 3) for i in range(3, 60)}
+    pairs = {(r["id"], r["other"]): r["r2"] for r in K.pairwise_ld(df, "id", "g", "pos", 50).collect()}
+    assert set(pairs) == {(a, b) for a in range(60) for b in range(a) if a % 3 == b % 3 and (a - b) * 7 <= 50}
+    listed = {(r["a"], r["b"]): r["r2"] for r in K.listed_ld(spark.createDataFrame([(9, 6), (5, 2), (1, 999)], "a bigint, b bigint"), df, "id").collect()}
+    assert set(listed) == {(9, 6), (5, 2)}
+    for k, v in listed.items():
+        assert abs(v - got[k]) < 1e-9 and abs(v - pairs[k]) < 1e-9 and 0 <= v <= 1 + 1e-9
