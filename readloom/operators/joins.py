@@ -73,6 +73,10 @@ def interval_join(
     return x.drop("__bin", "__rbin", "__rchrom", "__at", "__rat", "__own", "__rown", "__salt", "__rsalt", "__later")
 
 
+#: Entries of regions up to which the semi join ships them to every task; checked, as an estimate doesn't see how many bins a region has.
+FEW_ENTRIES = 1 << 18
+
+
 def overlap_semi(
     df: DataFrame, regions: DataFrame, chrom: str = "tid", start: str = "pos", end: str = "end", shift: int = BIN_SHIFT
 ) -> DataFrame:
@@ -82,14 +86,28 @@ def overlap_semi(
     Such a row reaches at most into the next bin, so a region is entered at the bins it touches and
     the one before, for each size. Nothing on the side of the rows is spread or made distinct. Nulls
     overlap nothing; a row with end <= start is taken as one base.
+
+    The entries of a bin are joined to disjoint stretches first, over gaps too: a row of a level is longer than the bins of
+    the level below, so it can't lie in a gap of that length. Only up to ``FEW_ENTRIES`` entries are broadcast, more
+    meet the rows in a sort merge join.
     """
     length = F.greatest(F.col(end) - F.col(start), F.lit(1))
     level = _level(length, shift)
     rows = df.withColumn("__l", level).withColumn("__b", F.expr(f"shiftright(cast({start} as bigint), {shift} + __l)"))
-    r = regions.where(F.col("start") < F.col("stop")).select(F.col(chrom).alias("__rc"), F.col("start").alias("__rs"), F.col("stop").alias("__re"))
-    r = r.withColumn("__rl", F.explode(F.array(*[F.lit(lv) for lv in LEVELS])))
-    bins = f"sequence(shiftright(cast(__rs as bigint), {shift} + __rl) - 1, shiftright(cast(__re - 1 as bigint), {shift} + __rl))"
+    r = regions.where(F.col("start") < F.col("stop")).select(F.col(chrom).alias("__rc"), F.col("start").cast("bigint").alias("__rs"), F.col("stop").cast("bigint").alias("__re"))
+    gaps = [0, *[1 << (shift + lv) for lv in LEVELS[:-1]]]
+    r = r.select("*", F.inline(F.array(*[F.struct(F.lit(lv).alias("__rl"), F.lit(g).cast("bigint").alias("__gap")) for lv, g in zip(LEVELS, gaps)])))
+    bins = f"sequence(shiftright(__rs, {shift} + __rl) - 1, shiftright(__re - 1, {shift} + __rl))"
     r = r.withColumn("__rb", F.explode(F.expr(bins)))
+    few = r.limit(FEW_ENTRIES + 1).count() <= FEW_ENTRIES
+    # what lies before the bin or behind the next one no row of the bin reaches
+    r = r.withColumns({"__rs": F.expr(f"greatest(__rs, shiftleft(__rb, {shift} + __rl))"), "__re": F.expr(f"least(__re, shiftleft(__rb + 2, {shift} + __rl))")})
+    key = ["__rc", "__rl", "__rb"]
+    w = Window.partitionBy(*key).orderBy("__rs")
+    upto = F.max("__re").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("__new", F.coalesce(F.col("__rs") > upto + F.col("__gap"), F.lit(True)).cast("int"))
+    r = r.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.groupBy(*key, "__i").agg(F.min("__rs").alias("__rs"), F.max("__re").alias("__re")).hint("broadcast" if few else "shuffle_merge")
     stop = F.greatest(F.col(end), F.col(start) + 1)
     hit = (F.col(chrom) == F.col("__rc")) & (F.col("__l") == F.col("__rl")) & (F.col("__b") == F.col("__rb"))
     return rows.join(r, hit & (F.col(start) < F.col("__re")) & (F.col("__rs") < stop), "left_semi").drop("__l", "__b")
