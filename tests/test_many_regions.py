@@ -36,7 +36,7 @@ def many_regions(spark, d: str) -> str:
     return d
 
 
-@pytest.mark.parametrize("name", ["view_regions", "mpileup_region_reads", "region_overlap_semi"])
+@pytest.mark.parametrize("name", ["view_regions", "mpileup_region_reads", "region_overlap_semi", "variant_view"])
 def test_query_with_many_regions(spark, tmp_path, name):
     d = many_regions(spark, str(tmp_path))
     df = entry.queries()[name](spark, d)
