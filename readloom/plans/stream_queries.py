@@ -44,7 +44,7 @@ def stream_flagstat(spark: SparkSession, d: str) -> DataFrame:
 @R.add("stream_mapping_counts", "select id_seq, count(*) as n_rows from mappings where tid = mtid and isize < 500 group by 1")
 def stream_mapping_counts(spark: SparkSession, d: str) -> DataFrame:
     """Running rows per read."""
-    return S.run_to_table(S.mapping_counts_stream(S.stream_table(spark, d, "mappings")), "complete")
+    return S.run_to_table(S.mapping_counts_stream(S.stream_table(spark, d, "mappings")), "update", ["id_seq"])
 
 
 @R.add(
