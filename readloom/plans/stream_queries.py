@@ -55,7 +55,7 @@ def stream_mapping_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_depth(spark: SparkSession, d: str) -> DataFrame:
     """All depths, each given out when the position watermark has passed it; a late block stops the query."""
     x = alignments(spark, d).where("tid >= 0").select("tid", F.inline(ref_blocks("pos", "cigar"))).where("beg < end").select("tid", "beg", "end")
-    return S.run_to_table(S.depth_stream(S.position_ordered(x), "error"), "append")
+    return S.positions_of(S.run_to_table(S.depth_runs_stream(S.position_ordered(x), "error"), "append"))
 
 
 @R.add("target_regions")
