@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from readloom.operators import aggregates as A
 from readloom.operators import calling as K
 from readloom.operators import phase as P
+from readloom.operators import piles as B
 from readloom.operators import variants as V
 from readloom.plans.derive import likelihoods
 from readloom.plans.registry import Registry
-from readloom.plans.variant_queries import _ANNOTATED, _BASE, _CALLS, _REF, PILE, PL, _S, base_pile
+from readloom.plans.variant_queries import _ANNOTATED, _BASE, _CALLS, _REF, PILE, PL, _S, base_pile, bases_of, pile_blocks
 from readloom.session import table
 
 R = Registry()
@@ -78,13 +79,14 @@ _P_OF = "exp({r} + {s} + {k} + {t} - {n} - lgamma({x} + 1) - lgamma(r - {x} + 1)
 )
 def site_strand_bias(spark: SparkSession, d: str) -> DataFrame:
     """Exact test of strand against allele, and the root mean square of the mapping quality."""
-    return site_tests(spark, d).select("tid", "pos", "n_ref_fwd", "n_ref_rev", "n_alt_fwd", "n_alt_rev", "rms_mapq", F.round("p_strand", 6).alias("p_strand"))
+    x = B.site_tests(pile_blocks(spark, d), bases_of, ["p_strand"], ["n_ref_fwd", "n_ref_rev", "n_alt_fwd", "n_alt_rev"])
+    return x.select("tid", "pos", "n_ref_fwd", "n_ref_rev", "n_alt_fwd", "n_alt_rev", "rms_mapq", F.round("p_strand", 6).alias("p_strand"))
 
 
 @R.add("site_tests")
 def site_tests(spark: SparkSession, d: str) -> DataFrame:
     """The four p values of a site: strand, base quality, mapping quality, distance to the read's end."""
-    return K.site_tests(V.site_annotations(base_pile(spark, d).where("not is_del"), _SITE)).drop("bin")
+    return B.site_tests(pile_blocks(spark, d), bases_of)
 
 
 _VDB = """case when n < 2 then 1.0 when n = 2 then case when d = 0 then 1 / l else (l - d) * 2 / l / l end

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from readloom.functions.flags import has
 from readloom.operators import aggregates as A
 from readloom.operators import calling as K
 from readloom.operators import filters as X
+from readloom.operators import piles as B
 from readloom.operators import variants as V
 from readloom.plans.alignment_queries import _BLOCKS, ops_sql
 from readloom.plans.derive import PL_SQL, REGION_SQL, alignments, likelihoods, regions
@@ -175,6 +177,16 @@ def base_pile(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("is_ref", F.col("base") == F.col("ref_base")).withColumn("tail", F.least(F.col("qpos"), F.col("qlen") - 1 - F.col("qpos"), F.lit(25)))
 
 
+def bases_of(pos: np.ndarray, qpos: np.ndarray, mapq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, reference base, base quality) as _BASE, _REF and _BASEQ have them, bases as places in ACGT."""
+    return (pos + (qpos * mapq % 11 == 5)) % 4, pos % 4, (qpos * 7 + mapq) % 41
+
+
+def pile_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks behind ``base_pile`` without deletions."""
+    return B.placed_blocks(X.pileup_reads(alignments(spark, d).where("tid >= 0")))
+
+
 _ANNOTATED = f"""{PILE}, x as (select *, {_BASE} = {_REF} as is_ref, {_BASEQ} as base_q, flag & 16 <> 0 as reverse, least(qpos, qlen - 1 - qpos, 25) as tail from pile where op in ('M', '=', 'X'))"""
 _SUMS = []
 for _n, _w in (("ref", "is_ref"), ("alt", "not is_ref")):
