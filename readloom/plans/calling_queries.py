@@ -40,8 +40,7 @@ _HET = "lgamma(k[a] + k[b] + 1) - lgamma(k[a] + 1) - lgamma(k[b] + 1) - (k[a] +
 )
 def genotype_likelihoods(spark: SparkSession, d: str) -> DataFrame:
     """Likelihoods of all genotypes under the dependent error model, alleles by their sum of qualities."""
-    x = K.dependent_likelihoods(base_pile(spark, d).where("not is_del"), _SITE)
-    return x.select("tid", "pos", "depth", "alleles", F.array_join(F.transform("pl", lambda v: v.cast("string")), ",").alias("pl"))
+    return B.dependent_likelihoods(pile_blocks(spark, d), bases_of)
 
 
 _LIK = "pow(10.0::double, -{0} / 10.0::double)"
