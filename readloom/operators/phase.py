@@ -72,17 +72,20 @@ def phased(calls: DataFrame, k: int = 8) -> DataFrame:
     with, 2 on a tie. A block is named by its first site. Reads with one call join nothing and are left out; of repeated
     calls of a read at a site the lesser allele counts; null calls don't.
     """
-    x = calls.where("allele in (0, 1) and pos is not null and read is not null").groupBy("tid", "read", "pos").agg(F.min("allele").cast("int").alias("allele"))
-    reads = x.groupBy("tid", "read").agg(F.min("pos").alias("beg"), F.max("pos").alias("end"), F.array_sort(F.collect_list(F.struct("pos", "allele"))).alias("calls")).where("beg < `end`")
+    # one exchange serves both groupings; a call is one number, twice its place and the allele
+    x = calls.where("allele in (0, 1) and pos is not null and read is not null").repartition("tid", "read")
+    x = x.groupBy("tid", "read", "pos").agg(F.min("allele").cast("bigint").alias("allele"))
+    reads = x.groupBy("tid", "read").agg(F.min("pos").alias("beg"), F.max("pos").alias("end"), F.array_sort(F.collect_list(F.col("pos").cast("bigint") * 2 + F.col("allele"))).alias("calls")).where("beg < `end`")
     reads = materialize(reads, "reads")
     blocks = stretches_and_gaps(reads, ["tid"], "beg", "end").where("kind = 'covered'").select("tid", F.col("seg_start").cast("int").alias("block"), F.col("seg_end").cast("int").alias("stop"))
     joined = interval_join(reads.withColumn("one", F.col("beg") + 1), blocks, "tid", "beg", "one", "block", "stop").select("tid", "block", "read", "calls")
     kind = joined.schema["read"].dataType.simpleString()
 
     def solved(tid: int, block: int, reads_: list, calls_: list) -> list[tuple]:
-        rows = [np.array([(c["pos"], c["allele"]) for c in calls], np.int64) for calls in calls_]
-        sites = np.unique(np.concatenate([r[:, 0] for r in rows]))
-        own = [(np.searchsorted(sites, r[:, 0]), r[:, 1]) for r in rows]
+        every = np.array([c for calls in calls_ for c in calls], np.int64)
+        cuts = np.cumsum([len(calls) for calls in calls_])[:-1]
+        sites, where = np.unique(every >> 1, return_inverse=True)
+        own = list(zip(np.split(where, cuts), np.split(every & 1, cuts)))
         haplotype = best_haplotype(len(sites), [p for s, a in own for p in pieces(s, a, k)], k)
         out = [(tid, block, "site", p, None, h) for p, h in zip(sites.tolist(), haplotype.tolist())]
         for read, (s, a) in zip(reads_, own):

@@ -149,7 +149,4 @@ def site_posteriors(spark: SparkSession, d: str) -> DataFrame:
 @R.add("phased_sites")
 def phased_sites(spark: SparkSession, d: str) -> DataFrame:
     """Haplotypes of the sites where reads show two bases, and the reads of each."""
-    x = base_pile(spark, d).where("not is_del").select("tid", "bin", "pos", "ord", "is_ref")
-    both = x.groupBy(*_SITE).agg(F.min("is_ref").alias("a"), F.max("is_ref").alias("b")).where("a <> b").drop("a", "b")
-    calls = x.join(both, _SITE).select("tid", "pos", F.col("ord").alias("read"), (~F.col("is_ref")).cast("int").alias("allele"))
-    return P.phased(calls)
+    return P.phased(B.calls_of_two(pile_blocks(spark, d, "ord"), bases_of))

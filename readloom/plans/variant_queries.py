@@ -182,9 +182,9 @@ def bases_of(pos: np.ndarray, qpos: np.ndarray, mapq: np.ndarray) -> tuple[np.nd
     return (pos + (qpos * mapq % 11 == 5)) % 4, pos % 4, (qpos * 7 + mapq) % 41
 
 
-def pile_blocks(spark: SparkSession, d: str) -> DataFrame:
+def pile_blocks(spark: SparkSession, d: str, ordinal: str | None = None) -> DataFrame:
     """The blocks behind ``base_pile`` without deletions."""
-    return B.placed_blocks(X.pileup_reads(alignments(spark, d).where("tid >= 0")))
+    return B.placed_blocks(X.pileup_reads(alignments(spark, d).where("tid >= 0")), ordinal=ordinal)
 
 
 _ANNOTATED = f"""{PILE}, x as (select *, {_BASE} = {_REF} as is_ref, {_BASEQ} as base_q, flag & 16 <> 0 as reverse, least(qpos, qlen - 1 - qpos, 25) as tail from pile where op in ('M', '=', 'X'))"""
