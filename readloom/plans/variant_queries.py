@@ -182,6 +182,11 @@ def bases_of(pos: np.ndarray, qpos: np.ndarray, mapq: np.ndarray) -> tuple[np.nd
     return (pos + (qpos * mapq % 11 == 5)) % 4, pos % 4, (qpos * 7 + mapq) % 41
 
 
+def inserted_of(pos: np.ndarray, qpos: np.ndarray, mapq: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The i-th base of the insertion behind a base, as _INS_SQL has it."""
+    return (qpos + i) * mapq % 4
+
+
 def pile_blocks(spark: SparkSession, d: str, ordinal: str | None = None) -> DataFrame:
     """The blocks behind ``base_pile`` without deletions."""
     return B.placed_blocks(X.pileup_reads(alignments(spark, d).where("tid >= 0")), ordinal=ordinal)
@@ -236,22 +241,9 @@ _TOKEN = f"""case when pos = start then '^' || chr(cast(least(mapq, 93) + 33 as
 )
 def mpileup_text(spark: SparkSession, d: str) -> DataFrame:
     """Bases and qualities of every position as text, with the bases of indels, by digest."""
-    back = F.col("reverse")
-    symbol = (
-        F.when(F.col("is_refskip"), F.when(back, "<").otherwise(">")).when(F.col("is_del"), "*").when(F.col("is_ref"), F.when(back, ",").otherwise("."))
-        .when(back, F.lower("base")).otherwise(F.col("base"))
-    )
-    head = F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise("")
-    steps = F.sequence(F.lit(1), F.greatest(F.abs("indel"), F.lit(1)))
-    base_at = lambda at: F.substring(F.lit("ACGT"), (1 + at % 4).cast("int"), F.lit(1))
-    bases = F.array_join(F.transform(steps, lambda i: F.when(F.col("indel") > 0, base_at((F.col("qpos") + i) * F.col("mapq"))).otherwise(base_at(F.col("pos") + i))), "")
-    text_of = F.concat(F.when(F.col("indel") > 0, "+").otherwise("-"), F.abs("indel").cast("string"), F.when(back, F.lower(bases)).otherwise(bases))
-    indel = F.when(F.col("indel") != 0, text_of).otherwise("")
-    token = F.concat(head, symbol, indel, F.when(F.col("is_tail"), "$").otherwise(""))
-    x = base_pile(spark, d).select("tid", "bin", "pos", "ref_base", F.struct("ord", token.alias("t"), F.char(F.col("base_q") + 33).alias("q")).alias("e"))
-    x = x.groupBy("tid", "bin", "pos").agg(F.first("ref_base").alias("ref_base"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list("e")).alias("l"))
-    text = lambda f: F.md5(F.array_join(F.transform("l", lambda e: e[f]), ""))
-    return x.select("tid", (F.col("pos") + 1).alias("pos"), "ref_base", "depth", text("t").alias("bases"), text("q").alias("quals"))
+    reads = B.placed_reads(X.pileup_reads(alignments(spark, d).where("tid >= 0")), "ord")
+    x = B.pileup_text(reads, bases_of, inserted_of)
+    return x.select("tid", (F.col("pos") + 1).alias("pos"), "ref_base", "depth", F.md5("bases").alias("bases"), F.md5("quals").alias("quals"))
 
 
 @R.add("indel_candidates", f"with {PILE} select tid, pos, cast(case when cigar = '20M2I28M' then 2 else -5 end as int) as indel, count(*) as n_reads from pile where at_end and ((cigar = '20M2I28M' and pos = start + 19) or (cigar = '30M5D20M' and pos = start + 29)) group by all")
